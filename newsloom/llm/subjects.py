@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..ship import ship
 from . import arrowtext as A
@@ -259,5 +260,5 @@ def document_subjects(documents: DataFrame, examples: DataFrame, enough: float =
 def composition(subjects: DataFrame) -> DataFrame:
     """(subject, documents, share): documents of each subject, and its share of all subjects' documents, each counted by its part of the document."""
     parts = subjects.groupBy("subject").agg(F.count("*").alias("documents"), F.sum("share").alias("w"))
-    whole = parts.agg(F.sum("w").alias("whole"))
-    return parts.crossJoin(F.broadcast(whole)).select("subject", "documents", F.round(F.col("w") / F.col("whole"), 6).alias("share"))
+    whole = F.sum("w").over(Window.partitionBy())  # one row for each subject
+    return parts.select("subject", "documents", F.round(F.col("w") / whole, 6).alias("share"))
