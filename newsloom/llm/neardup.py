@@ -80,63 +80,79 @@ def _sets(part: pa.RecordBatch, columns: list[str], k: int) -> tuple[np.ndarray,
     return row, h, cls
 
 
-def classes(df: DataFrame, id_col: str, columns: list[str], k: int) -> DataFrame:
-    """(id, cls): texts with the same set of shingles have the same class; texts without a shingle have none and no row."""
+def signatures(df: DataFrame, id_col: str, columns: list[str], k: int, bands: int, rows: int) -> DataFrame:
+    """(id, cls, keys, sketch, shingles) of each text with a shingle; the last three once for each class and task.
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in A.slices(batch, *columns):
-                row, _, cls = _sets(part, columns, k)
-                own = np.unique(row)
-                yield pa.record_batch([part.column(id_col).take(pa.array(own)), pa.array(cls[own])], names=["id", "cls"])
-
-    kind = df.schema[id_col].dataType.simpleString()
-    return A.over(df.select(id_col, *columns), rows, f"id {kind}, cls long")
-
-
-def _once(df: DataFrame, columns: list[str], k: int, make, schema: str) -> DataFrame:
-    """make's rows for each class, once for each task: copies of a text are merged before any shuffle."""
+    Copies of a text are so merged before any shuffle. ``sketch`` has the lowest bit of each
+    component of the signature, ``shingles`` the set itself, hashed to 32 bits.
+    """
+    m = bands * rows
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.int64)
         for batch in batches:
             for part in A.slices(batch, *columns):
                 row, h, cls = _sets(part, columns, k)
+                n = part.num_rows
+                has = np.bincount(row, minlength=n) > 0
                 _, first = np.unique(cls, return_index=True)
-                keep = np.zeros(part.num_rows, bool)
-                keep[first] = True
-                keep &= np.bincount(row, minlength=part.num_rows) > 0
-                keep &= ~np.isin(cls, seen)
-                seen = np.r_[seen, cls[keep]]
-                own = keep[row]
-                number = np.cumsum(keep) - 1
-                yield make(cls[keep], number[row[own]], h[own])
+                new = np.zeros(n, bool)
+                new[first] = True
+                new &= has & ~np.isin(cls, seen)
+                seen = np.r_[seen, cls[new]]
+                number = np.cumsum(new) - 1
+                own = new[row]
+                sig = superminhash(number[row[own]], h[own], int(new.sum()), m)
+                keys = band_keys(sig, bands, rows).reshape(-1)
+                bits = np.packbits((sig & np.uint64(1)).astype(bool), axis=1)
+                bits = np.ascontiguousarray(np.pad(bits, ((0, 0), (0, -bits.shape[1] % 8)))).view(np.int64)
+                held = new[has]
+                at = np.r_[0, np.cumsum(held)]
+                size = np.bincount(number[row[own]], minlength=int(new.sum()))
+                ends = np.r_[0, np.cumsum(size)]
+
+                def lists(values: np.ndarray, off: np.ndarray, held: np.ndarray = held) -> pa.Array:
+                    return pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(values), mask=pa.array(~held))
+
+                yield pa.record_batch(
+                    [part.column(id_col).filter(pa.array(has)), pa.array(cls[has]), lists(keys, at * bands), lists(bits.reshape(-1), at * bits.shape[1]), lists((h[own] >> np.uint64(32)).astype(np.uint32).view(np.int32), ends[at])],
+                    names=["id", "cls", "keys", "sketch", "shingles"],
+                )
+
+    kind = df.schema[id_col].dataType.simpleString()
+    return A.over(df.select(id_col, *columns), run, f"id {kind}, cls long, keys array<long>, sketch array<long>, shingles array<int>")
 
-    return A.over(df.select(*columns), rows, schema)
 
+#: Classes that a join may broadcast; above, both sides are shuffled.
+SMALL = 200_000
 
-def similar_classes(df: DataFrame, columns: list[str], k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
-    """(a, b, similarity) of the classes whose sets of k-word shingles are at least ``threshold`` alike; a < b."""
-    m = bands * rows
 
-    def keyed(cls: np.ndarray, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        keys = band_keys(superminhash(row, h, len(cls), m), bands, rows)
-        off = pa.array(np.arange(len(cls) + 1, dtype=np.int32) * bands)
-        return pa.record_batch([pa.array(cls), pa.ListArray.from_arrays(off, pa.array(keys.reshape(-1)))], names=["cls", "keys"])
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
-    def held(cls: np.ndarray, row: np.ndarray, h: np.ndarray) -> pa.RecordBatch:
-        return pa.record_batch([pa.array(cls), A.lists(row, h.astype(np.int64), len(cls))], names=["cls", "shingles"])
 
-    spread = _once(df, columns, k, keyed, "cls long, keys array<long>").select("cls", F.explode("keys").alias("key"))
+def similar_classes(signed: DataFrame, threshold: float, bands: int, rows: int, hot: int = HOT) -> DataFrame:
+    """(a, b, similarity) of the classes whose sets are at least ``threshold`` alike; a < b.
+
+    A pair that shares a band is first judged by its sketches: of m bits, two sets of similarity J
+    agree in m(1+J)/2 on average, so a pair five standard deviations below that for the threshold
+    is none (one in three million true ones is lost so); then by its sets.
+    """
+    m = bands * rows
+    spread = signed.where("keys IS NOT NULL").select("cls", F.explode("keys").alias("key"))
     together = spread.repartition("key").dropDuplicates(["key", "cls"]).withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
     together = cut(together, "bands")
     few = together.where(F.col("n") <= hot)
     pairs = few.alias("a").join(few.alias("b"), "key").where("a.cls < b.cls").select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
-    pairs = cut(pairs, "candidates")
-    sets = _once(df, columns, k, held, "cls long, shingles array<long>")
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(together.where(F.col("n") > hot).select("cls")).distinct()
-    sets = cut(sets.join(needed, "cls", "left_semi").dropDuplicates(["cls"]), "sets")
+    sketches = signed.where("sketch IS NOT NULL").select("cls", "sketch").dropDuplicates(["cls"])
+    xa, xb = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y"))
+    apart = F.aggregate(F.zip_with("x", "y", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    agree = (1 + threshold) / 2
+    most = m * (1 - agree) + 5 * (m * agree * (1 - agree)) ** 0.5
+    pairs = cut(pairs.join(xa, "a").join(xb, "b").where(apart <= most).select("a", "b"), "candidates")
     many = together.where(F.col("n") > hot).select("cls").distinct()
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("cls")).union(many).distinct()
+    sets = cut(signed.where("shingles IS NOT NULL").select("cls", "shingles").join(_small(needed), "cls", "left_semi").dropDuplicates(["cls"]), "sets")
     if not many.isEmpty():  # exact for those: two sets this alike share one of their rarest shingles
         crowd = sets.join(many, "cls", "left_semi")
         each = crowd.select("cls", F.size("shingles").alias("size"), F.explode("shingles").alias("s"))
@@ -151,29 +167,32 @@ def similar_classes(df: DataFrame, columns: list[str], k: int = 5, threshold: fl
     return pairs.join(a, "a").join(b, "b").withColumn("both", both).select("a", "b", (F.col("both") / (F.size("sa") + F.size("sb") - F.col("both"))).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def near_duplicate_pairs(df: DataFrame, id_col: str, columns: list[str], k: int = 5, threshold: float = 0.8, **how) -> DataFrame:
+def near_duplicate_pairs(df: DataFrame, id_col: str, columns: list[str], k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
     """(id_a, id_b) of all near-duplicates, copies included; id_a < id_b.
 
     A row whose texts are null, empty or shorter than k words has no partner. An id given twice
     counts as one. The number of rows is that of the pairs there are.
     """
-    members = cut(classes(df, id_col, columns, k).distinct(), "members")
-    links = cut(similar_classes(df, columns, k, threshold, **how), "links").select("a", "b")
+    signed = cut(signatures(df, id_col, columns, k, bands, rows), "signatures")
+    members = signed.select("id", "cls").distinct()
+    links = cut(similar_classes(signed, threshold, bands, rows, hot), "links").select("a", "b")
     same = members.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1").select(F.col("cls").alias("a"), F.col("cls").alias("b"))
+    both = _small(cut(links.unionByName(same), "pairs"))
     ma = members.select(F.col("cls").alias("a"), F.col("id").alias("x"))
     mb = members.select(F.col("cls").alias("b"), F.col("id").alias("y"))
-    out = links.join(ma, "a").join(mb, "b").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    twins = same.join(ma, "a").join(mb, "b").where("x < y").select(F.col("x").alias("id_a"), F.col("y").alias("id_b"))
-    return out.where("id_a < id_b").unionByName(twins).distinct()
+    half = cut(ma.join(both, "a"), "half")
+    out = mb.join(_small(half), "b").where((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
+    return out.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).where("id_a < id_b").distinct()
 
 
-def near_duplicate_groups(df: DataFrame, id_col: str, columns: list[str], k: int = 5, threshold: float = 0.8, **how) -> DataFrame:
+def near_duplicate_groups(df: DataFrame, id_col: str, columns: list[str], k: int = 5, threshold: float = 0.8, bands: int = BANDS, rows: int = ROWS, hot: int = HOT) -> DataFrame:
     """(id, group_id, links): each row's group, named by the least class in it, and how many classes its class is linked with.
 
     Rows without a shingle have a group of their own (null).
     """
-    members = cut(classes(df, id_col, columns, k).distinct(), "members")
-    links = cut(similar_classes(df, columns, k, threshold, **how), "links").select("a", "b")
+    signed = cut(signatures(df, id_col, columns, k, bands, rows), "signatures")
+    members = signed.select("id", "cls").distinct()
+    links = cut(similar_classes(signed, threshold, bands, rows, hot), "links").select("a", "b")
     group = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("links"))
     out = members.join(group, members.cls == group.node, "left").join(degree, "cls", "left")
