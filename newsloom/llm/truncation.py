@@ -43,6 +43,8 @@ NOTES = r"(?:\s+(?:\[\p{L}[^\[\]]*\]|\(\p{L}[^()]*\)|[—–]\s+\p{Lu}[^.!?।
 TAGS = r"(?:\s+(?:\([^()]{2,20}\)|\[\p{L}[^\[\]]{2,20}\]|\|\s*\S.{1,20}|[–—-]\s+\p{L}\S{1,12}))+$"
 #: A character, an entity or a tag of which only the beginning is there.
 BROKEN = r"(?:�|&#?\w{0,7}|<[a-zA-Z/][^<>]{0,60}|<)$"
+#: Fixed value: what stands between the words of a text.
+BETWEEN = "\t\n\r\u00a0\u2007\u2009\u202f\u3000.,;:!?।|()[]{}\"“”‘’«»…–—"
 UNSEEN = r"[\s ​-‏⁠-⁤﻿­]+$"
 
 
@@ -51,14 +53,14 @@ def _bare(text: Column) -> Column:
 
 
 def _running(text: Column) -> Column:
-    """Whether a running text lacks a proper end."""
-    t = _bare(F.regexp_replace(F.regexp_replace(text, r"</[a-zA-Z]+>", " "), "<[a-zA-Z][^<>]*>", " "))
-    t = F.right(t, F.lit(400))
+    """Whether a running text lacks a proper end; only its last characters tell."""
+    t = F.right(text, F.lit(400))
+    t = _bare(F.regexp_replace(F.regexp_replace(t, r"</[a-zA-Z]+>", " "), "<[a-zA-Z][^<>]*>", " "))
     noted = F.regexp_extract(t, "^(?s)(.*?)" + NOTES, 1)  # a note counts only after a whole sentence or after a cut
     rest = F.when(noted != "", noted).otherwise(t)
     more = _bare(F.regexp_replace(rest, MORE, ""))
     more = F.when(more != "", more).otherwise(rest)
-    return ~more.rlike(ENDED) | more.rlike(BROKEN)
+    return F.when(t.rlike(ENDED) & ~t.rlike(MORE), False).otherwise(~more.rlike(ENDED) | more.rlike(BROKEN))
 
 
 def _headline_words(part: pa.RecordBatch, column: str) -> A.Words:
@@ -122,7 +124,7 @@ def _last_words(titles: DataFrame, common: np.ndarray) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in A.slices(batch, "t", "summary"):
+            for part in A.slices(batch, "t"):
                 w = _headline_words(part, "t")
                 ctx, last, name = _contexts(w, common)
                 at = np.flatnonzero(last)
@@ -133,26 +135,15 @@ def _last_words(titles: DataFrame, common: np.ndarray) -> DataFrame:
                     mine[own, j] = c[at]
                 named = np.zeros(n, bool)
                 named[own] = name[at]
-                s = _headline_words(part, "summary")
-                # the last word, looked for among the beginnings of the same length of the summary's words
-                size = np.zeros(n, np.int64)
-                size[own] = w.end[at] - w.start[at]
-                hash_ = np.zeros(n, np.uint64)
-                hash_[own] = w.hash[at]
-                length = s.end - s.start
-                cand = np.flatnonzero((length >= size[s.row]) & (size[s.row] > 0))
-                r = s.row[cand]
-                same = A.span_hash(s.low, s.start[cand], s.start[cand] + size[r]) == hash_[r]
-                begins, whole = np.zeros(n, bool), np.zeros(n, bool)
-                begins[r[same & (length[cand] > size[r])]] = True
-                whole[r[same & (length[cand] == size[r])]] = True
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * ORDER), pa.array(mine.astype(np.int64).reshape(-1)))
-                yield pa.record_batch(
-                    [part.column("id"), part.column("source_id"), part.column("title"), lists, pa.array(begins & ~whole), pa.array(whole), pa.array(named)],
-                    names=["id", "source_id", "title", "ctx", "begins", "whole", "name"],
-                )
+                yield pa.record_batch([*(part.column(c) for c in ("id", "source_id", "title", "begins", "whole")), lists, pa.array(named)], names=["id", "source_id", "title", "begins", "whole", "ctx", "name"])
 
-    return A.over(titles.select("id", "source_id", "title", "t", "summary"), rows, "id string, source_id string, title string, ctx array<long>, begins boolean, whole boolean, name boolean")
+    word = F.regexp_replace(F.substring_index(F.regexp_replace(F.lower(_bare(F.col("t"))), r"[\s\p{Z}]+", " "), " ", -1), r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
+    text = F.concat(F.lit(" "), F.translate(F.lower(F.coalesce("summary", F.lit(""))), BETWEEN, " " * len(BETWEEN)), F.lit(" "))
+    whole = F.contains(text, F.concat(F.lit(" "), word, F.lit(" ")))
+    begins = F.contains(text, F.concat(F.lit(" "), word))
+    asked = titles.select("id", "source_id", "title", "t", ((word != "") & begins & ~whole).alias("begins"), ((word != "") & whole).alias("whole"))
+    return A.over(asked, rows, "id string, source_id string, title string, begins boolean, whole boolean, ctx array<long>, name boolean")
 
 
 def limits(values: DataFrame) -> DataFrame:
@@ -182,7 +173,7 @@ def field_values(articles: DataFrame) -> DataFrame:
     plain = titles.where("NOT marked")
     common = _common_words(plain)
     counts = cut(_context_counts(plain, common).where(F.col("n") >= SEEN).select("ctx", F.col("n"), F.col("ends")), "contexts")
-    ends = _last_words(plain, common)
+    ends = cut(_last_words(plain, common), "ends")
     asked = ends.select("id", F.posexplode("ctx").alias("pos", "ctx")).join(counts, "ctx")
     rate = F.greatest(F.col("ends") - 1, F.lit(0)) / (F.col("n") - 1)  # without the headline itself
     rate = asked.withColumn("rate", rate).groupBy("id").agg(F.min_by("rate", "pos").alias("rate"), F.max_by("rate", "pos").alias("alone"), F.min("pos").alias("pos"))
