@@ -12,6 +12,7 @@ again as text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager, nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -171,15 +172,17 @@ class History:
         asked = keys.withColumn("bucket", self._bucket())
         return asked.groupBy("bucket").cogroup(self._bloom().groupBy("bucket")).applyInArrow(rows, "ref long, key long, exact boolean")
 
-    def known(self, records: DataFrame, asked: DataFrame) -> DataFrame:
-        """(ref) of the records that history has already; ``asked`` is (ref, key, exact)."""
+    def known(self, records: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+        """(ref) of the records that history has already; ``asked`` is (ref, key, exact); ``few``: the records were counted and are few."""
+        hint = F.broadcast if few else lambda df: df
         through = cut(self.screen_keys(asked), "through")
-        met = cut(self.keys().withColumnRenamed("ref", "old").join(small(through), "key").select("ref", "old", "exact").distinct(), "met")
-        met = met.where("exact").select("ref", F.lit(None).cast("long").alias("old"), "exact").distinct().unionByName(met.where("NOT exact"))
+        met = self.keys().withColumnRenamed("ref", "old").join(hint(through), "key").select("ref", F.when(~F.col("exact"), F.col("old")).alias("old")).distinct()
+        met = cut(met, "met")
         a = records.select("ref", F.col("at").alias("at_a"), F.col("words").alias("wa"))
         b = self.titles().select(F.col("ref").alias("old"), F.col("at").alias("at_b"), F.col("words").alias("wb"))
-        alike = b.join(small(met.where("NOT exact").join(a, "ref")), "old").where(alike_titles()).select("ref")
-        return met.where("exact").select("ref").unionByName(alike).distinct()
+        titles = met.where("old IS NOT NULL").join(hint(a), "ref")
+        alike = b.join(small(titles), "old").where(alike_titles()).select("ref")
+        return met.where("old IS NULL").select("ref").unionByName(alike).distinct()
 
     def screen(self, batch: DataFrame) -> DataFrame:
         """(row_id, accepted) of a batch, which then is part of history as far as it was accepted.
@@ -188,14 +191,32 @@ class History:
         Nulls match nothing; a row of nulls alone is accepted; an empty batch gives an empty result.
         """
         records = cut(_records(batch, "row_id"), "batch")
-        asked = _exact_keys(records).withColumn("exact", F.lit(True)).unionByName(_title_keys(records, self.common, True).withColumn("exact", F.lit(False)))
-        fresh = records.join(self.known(records, asked), "ref", "left_anti")
-        fresh = cut(fresh.withColumn("cls", F.when((F.size("words") > 0) & F.col("at").isNotNull(), F.xxhash64(F.lit("cls"), "words", "at"))), "fresh")
-        accepted = _first_come(fresh, self.common)
-        self.add(records.join(accepted, "ref", "left_semi").withColumn("ref", F.xxhash64(F.lit("row"), "ref")))
+        few = records.count() <= SMALL_ROWS
+        with at_once(self.spark) if few else nullcontext():
+            asked = _exact_keys(records).withColumn("exact", F.lit(True)).unionByName(_title_keys(records, self.common, True).withColumn("exact", F.lit(False)))
+            fresh = records.join(self.known(records, asked, few), "ref", "left_anti")
+            fresh = cut(fresh.withColumn("cls", F.when((F.size("words") > 0) & F.col("at").isNotNull(), F.xxhash64(F.lit("cls"), "words", "at"))), "fresh")
+            accepted = _first_come(fresh, self.common)
+            self.add(records.join(accepted, "ref", "left_semi").withColumn("ref", F.xxhash64(F.lit("row"), "ref")))
         return records.select("ref").join(accepted.withColumn("accepted", F.lit(True)), "ref", "left").select(F.col("ref").alias("row_id"), F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
+#: Rows of a batch up to which what is made of it may be broadcast: a few dozen keys each.
+SMALL_ROWS = 20_000
+
+
+@contextmanager
+def at_once(spark: SparkSession) -> Iterator[None]:
+    """Plans each query as a whole: for a small batch, planning stage by stage costs more than it saves."""
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def alike_titles() -> Column:
     both = F.size(F.array_intersect("wa", "wb"))
     close = F.abs(F.col("at_a") - F.col("at_b")) <= SLOT_S * 1_000_000
@@ -241,10 +262,6 @@ def _first_come(fresh: DataFrame, common: np.ndarray, max_rounds: int = 1000) ->
     return cut(out.distinct(), "accepted")
 
 
-#: Rows of a table that a join may broadcast; above, both sides are shuffled.
-SMALL_ROWS = 200_000
-
-
 def small(df: DataFrame) -> DataFrame:
     """The table with a broadcast hint, if it was counted and is small."""
     return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
@@ -256,6 +273,7 @@ def screen_batches(articles: DataFrame, batches: DataFrame) -> DataFrame:
     numbers = [r[0] for r in batches.select("batch_no").distinct().orderBy(F.col("batch_no").asc_nulls_first()).collect()]
     out = None
     for n in numbers:
+        articles.sparkSession.sparkContext._jvm.System.gc()  # lets Spark's cleaner drop the last batch's shuffles and broadcasts
         part = history.screen(batches.where(F.col("batch_no").eqNullSafe(F.lit(n)))).select(F.lit(n).cast("int").alias("batch_no"), "row_id", "accepted")
         out = part if out is None else out.unionByName(part)
     return out if out is not None else articles.sparkSession.createDataFrame([], "batch_no int, row_id long, accepted boolean")
