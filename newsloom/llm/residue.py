@@ -252,17 +252,28 @@ def _segments(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.cumsum(begin[:n])
 
 
+@cache
+def _lanes() -> np.ndarray:
+    """For each byte its eight bits as eight bytes."""
+    return np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).reshape(-1)
+
+
 def simhash(h: np.ndarray, seg: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit SimHash of each of n segments out of its words' hashes."""
+    """A 64-bit SimHash of each of n segments out of its words' hashes; ``seg`` is in order."""
     out = np.zeros(n, np.uint64)
     if not len(h):
         return out
-    starts = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
-    ids = seg[starts]
-    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1).astype(np.int32)
-    votes = np.add.reduceat(bits, starts, axis=0)
+    first = np.r_[True, seg[1:] != seg[:-1]]
+    starts = np.flatnonzero(first)
+    place = np.arange(len(seg)) - np.repeat(starts, np.diff(np.r_[starts, len(seg)]))
+    blocks = np.flatnonzero(first | (place % 255 == 0))  # a lane counts to 255
+    raw = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
+    lanes = np.stack([np.add.reduceat(_lanes()[raw[:, b]], blocks) for b in range(8)], axis=1)
+    votes = lanes.view(np.uint8).reshape(len(blocks), 64)
+    if len(blocks) > len(starts):
+        votes = np.add.reduceat(votes.astype(np.int64), np.searchsorted(blocks, starts), axis=0)
     size = np.diff(np.r_[starts, len(h)])
-    out[ids] = np.packbits(votes * 2 > size[:, None], axis=1).reshape(-1).view(np.uint64)
+    out[seg[starts]] = np.packbits(votes.astype(np.int32) * 2 > size[:, None], axis=1).reshape(-1).view(np.uint64)
     return out
 
 
