@@ -235,7 +235,9 @@ def canonical(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         cp, off = out, ends[off]
     cp, off = _compose(cp, off, changed, t)
     cp = _danda(cp, off, changed)
-    cp = _scripts(cp, off, changed, t)
+    one_script = _scripts(cp, off, changed, t)
+    if one_script is not cp:  # a letter of another script may now join the mark after it
+        cp, off = _compose(one_script, off, changed, t)
     return cp, off, changed
 
 

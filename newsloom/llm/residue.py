@@ -36,26 +36,17 @@ FIELDS = [
 PHRASES = """
 placeholder copy
 placeholder text
-text text
 test post please ignore
-test test
 dummy text
 dummy standfirst
-two lines max
-do not publish
 sample text for layout only
 this is sample text
 sample description for the preview card
-the desk will replace it later
 body copy goes here
 copy goes here
 text goes here
 replace this paragraph before publishing
 enter a short description of the article
-max 160 characters
-text to follow
-new draft
-this is a test
 insert text here
 your text here
 lorem ipsum
@@ -69,26 +60,16 @@ the page you are looking for does not exist
 the page you requested could not be found
 return to the home page or try a search
 that's all we know
-oops
 something went wrong on our end
-something went wrong
-please try again in
 please try again later
 error establishing a database connection
 upstream connect error or disconnect/reset before headers
 fatal error
-uncaught exception in
-on line
-request id
-reference
-ray
 your session has expired
-please sign in again
 this content is not available in your region
 this site is down for maintenance
 we are down for maintenance
 content-type text/html
-http/1.1
 please enable javascript
 enable javascript
 enable scripts
@@ -96,7 +77,6 @@ enable javascript to continue
 please enable javascript to continue
 please enable scripts to continue
 please enable javascript and cookies to continue
-to run this app
 you need to enable javascript
 you need to enable scripts
 you need to enable javascript and cookies to run this app
@@ -107,35 +87,22 @@ this site works best with javascript and cookies enabled
 it looks like javascript is disabled
 it looks like scripts is disabled
 it looks like javascript and cookies is disabled
-it looks like
-is disabled
 allow javascript for
 allow javascript and cookies for
 allow scripts for
-and refresh
 we use javascript to check that you are a person
 we use javascript and cookies to check that you are a person
 we use scripts to check that you are a person
-we use cookies
-to check that you are a person
-enable it and try again
 turn it on in your browser settings and reload the page
 your browser has javascript switched off
 your browser has scripts switched off
 your browser has javascript and cookies switched off
-so parts of this page cannot be shown
-loading
-if nothing appears
 if nothing appears your browser may be blocking scripts
 your browser may be blocking scripts
 disable your ad blocker and reload to view this story
 disable your ad blocker
 checking your browser before you reach
-this usually takes
-this usually takes seconds
 verify you are human
-just a moment
-home news contact
 शीर्षक यहाँ
 विवरण यहाँ
 तस्बिर यहाँ
@@ -144,15 +111,12 @@ home news contact
 नमुना पाठ
 नमुना पाठ मात्र हो
 यो अनुच्छेद पछि हटाइनेछ
-परीक्षण सामग्री
-प्रकाशन नगर्नुहोस्
 सर्भरमा समस्या आयो
 कृपया केही समयपछि पुनः प्रयास गर्नुहोस्
 कृपया कुकी र स्क्रिप्ट अनुमति दिनुहोस्
 कृपया जाभास्क्रिप्ट अनुमति दिनुहोस्
 त्यसपछि पृष्ठ पुनः लोड गर्नुहोस्
 तपाईंको ब्राउजरले स्क्रिप्ट चलाउन सक्दैन
-त्यसैले सामग्री देखिएन
 यो पृष्ठ हेर्न ब्राउजरमा जाभास्क्रिप्ट सक्रिय गर्नुहोस्
 यो पृष्ठ हेर्न ब्राउजरमा स्क्रिप्ट सक्रिय गर्नुहोस्
 यो पृष्ठ हेर्न ब्राउजरमा कुकी सक्रिय गर्नुहोस्
@@ -162,9 +126,48 @@ home news contact
 पृष्ठ भेटिएन
 गृहपृष्ठमा फर्कनुहोस्
 माफ गर्नुहोस् तपाईंले खोज्नुभएको पृष्ठ भेटिएन
-माफ गर्नुहोस्
 तपाईंले खोज्नुभएको पृष्ठ भेटिएन
 """.strip().split("\n")
+#: Phrases that occur beside those, and elsewhere too; they only count for how much of a segment is covered.
+PARTS = """
+two lines max
+do not publish
+the desk will replace it later
+max 160 characters
+please try again in
+on line
+request id
+reference
+ray
+please sign in again
+to run this app
+it looks like
+is disabled
+and refresh
+we use cookies
+to check that you are a person
+enable it and try again
+so parts of this page cannot be shown
+loading
+if nothing appears
+this usually takes
+this usually takes seconds
+just a moment
+home news contact
+test test
+text text
+this is a test
+uncaught exception in
+http/1.1
+something went wrong
+oops
+new draft
+text to follow
+माफ गर्नुहोस्
+प्रकाशन नगर्नुहोस्
+परीक्षण सामग्री
+त्यसैले सामग्री देखिएन
+""".strip().split("\n")
 #: HTTP status codes and their reasons.
 STATUS = """
 400 bad request
@@ -207,9 +210,10 @@ def _words(text: str) -> np.ndarray:
 
 
 @cache
-def _phrases() -> dict[int, np.ndarray]:
-    by: dict[int, set[int]] = {1: {int(_words(w)[0]) for w in FILLER}}
-    for p in PHRASES:
+def _phrases(sure: bool) -> dict[int, np.ndarray]:
+    """The phrases' hashes by their number of words: those that make a segment residue, or those that only cover it."""
+    by: dict[int, set[int]] = {1: {int(_words(w)[0]) for w in FILLER}} if sure else {}
+    for p in PHRASES if sure else PARTS:
         h = _words(p)
         if len(h):
             g = A.shingle(h, np.zeros(len(h), np.int64), len(h)) if len(h) > 1 else (h, None)
@@ -299,7 +303,7 @@ def scan(texts: pa.Array) -> dict[str, np.ndarray]:
     covered = np.zeros(len(w) + 1, np.int64)
     strong = np.zeros(n, bool)
     quote = np.isin(cp[np.maximum(w.start - 1, 0)], [0x201C, 0x22, 0xAB, 0x2018]) & (w.start > 0) if len(w) else np.empty(0, bool)
-    for k, known in _phrases().items():
+    for k, known, sure in [(k, known, sure) for sure in (True, False) for k, known in _phrases(sure).items()]:
         if len(w) < k:
             continue
         if k == 1:
@@ -311,6 +315,8 @@ def scan(texts: pa.Array) -> dict[str, np.ndarray]:
         hit = hit[(seg[hit] == seg[hit + k - 1]) & ~quote[hit]]
         np.add.at(covered, hit, 1)
         np.add.at(covered, hit + k, -1)
+        if not sure:
+            continue
         head = np.r_[True, seg[1:] != seg[:-1]][hit] if len(hit) else np.empty(0, bool)
         if k == 1:  # so many words of filler in a row
             alone = np.zeros(len(w), np.int64)
