@@ -30,8 +30,8 @@ LEAST_SHARE = 0.002
 ROUNDS = 2
 #: Share of a document's sentences that treat any subject.
 ENOUGH = 0.3
-#: Posterior from which a sentence treats a subject.
-TREATS = 0.4
+#: A sentence treats a subject if its posterior lies by so much of the way above that of a sentence which says nothing.
+TREATS = 0.2
 #: Words of a line without an end mark, up to which it is a headline, byline or footer.
 LINE = 20
 #: Words of a sentence and of one that must be several run together.
@@ -54,6 +54,12 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.slope * _margin(score) + self.offset, -40, 40)))
 
 
+    def evidence(self, score: np.ndarray) -> np.ndarray:
+        """By sentence and subject, how far the posterior lies above that of a sentence without a word that tells; 0 to 1."""
+        none = 1 / (1 + np.exp(-self.offset))
+        return np.clip((self.posteriors(score) - none) / (1 - none), 0, 1)
+
+
 def _margin(score: np.ndarray) -> np.ndarray:
     """How far each subject's score is above the best of the others."""
     order = np.sort(score, 1)
@@ -155,8 +161,9 @@ def _curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _share(model: Model, cell: np.ndarray, sent: np.ndarray, n: int) -> np.ndarray:
     """Each sentence's part in the subjects; as far as it treats none, it counts for all alike, so that its words stay without weight."""
-    p = model.posteriors(_scores(model.weight, cell, sent, n))
-    top = p.max(1, keepdims=True)
+    score = _scores(model.weight, cell, sent, n)
+    p = np.exp((score - score.max(1, keepdims=True)) * model.slope.mean())
+    top = model.evidence(score).max(1, keepdims=True)
     return p / p.sum(1, keepdims=True) * top + (1 - top) / p.shape[1]
 
 
@@ -236,7 +243,7 @@ def sentence_counts(documents: DataFrame, model: Model) -> DataFrame:
                 score = _scores(m.weight, cell, sent, n)
                 p = m.posteriors(score)
                 best = score.argmax(1)
-                treats = p[np.arange(n), best] >= TREATS
+                treats = m.evidence(score)[np.arange(n), best] >= TREATS
                 key = row[treats] * k + best[treats]
                 u, inv, count = np.unique(key, return_inverse=True, return_counts=True)
                 total = np.bincount(row[treats], minlength=part.num_rows)
