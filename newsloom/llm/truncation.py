@@ -30,7 +30,8 @@ ENDS, ENDS_WHOLE, ENDS_BEGUN = 0.04, 0.004, 0.3
 SEEN = 12
 #: Words of the longest context.
 ORDER = 4
-#: A length is a limit if so many values of a source have it, and so many times more than its neighbours do.
+#: A length is a limit if so many values of a source have it, and so many times more than have the lengths around it
+#: and than have the two lengths above it.
 SPIKE, TIMES, AROUND = 6, 4.0, 12
 
 # What can follow a text. Characters that end a sentence, also in quotes or brackets.
@@ -153,7 +154,10 @@ def limits(values: DataFrame) -> DataFrame:
     w = Window.partitionBy("source_id", "field", "unit").orderBy("size").rangeBetween(-AROUND, AROUND)
     near = Window.partitionBy("source_id", "field", "unit").orderBy("size").rangeBetween(-2, 2)
     base = (F.sum("n").over(w) - F.sum("n").over(near)) / (2 * AROUND - 4)
-    return hist.withColumn("base", base).where((F.col("n") >= SPIKE) & (F.col("n") >= TIMES * (F.col("base") + 1))).drop("base")
+    up = Window.partitionBy("source_id", "field", "unit").orderBy("size").rangeBetween(1, 2)
+    above = F.coalesce(F.sum("n").over(up), F.lit(0)) / 2
+    piled = (F.col("n") >= SPIKE) & (F.col("n") >= TIMES * (F.col("base") + 1)) & (F.col("n") >= TIMES * (F.col("above") + 1))
+    return hist.withColumn("base", base).withColumn("above", above).where(piled).drop("base", "above")
 
 
 def field_values(articles: DataFrame) -> DataFrame:
