@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Topics in the order in which they win ties, each with English words and Nepali stems.
 TOPIC_WORDS = {
     "sports": ("cricket football soccer olympic olympics world_cup tournament match goal striker fifa icc nba nfl tennis wicket innings medal athlete marathon championship league volleyball badminton sprint", "खेल क्रिकेट फुटबल ओलम्पिक खेलाडी प्रतियोगिता गोल पदक विश्वकप टोली"),
@@ -33,23 +33,38 @@ def topic_patterns() -> dict[str, tuple[str, str]]:
     return {t: ("|".join(w.replace("_", " ") for w in en.split()), "|".join(w.replace("_", " ") for w in np_.split())) for t, (en, np_) in TOPIC_WORDS.items()}
 
 
-def topic_scores(title: Column, summary: Column) -> dict[str, Column]:
-    """By topic: 2 for an English word and 2 for a Nepali stem, twice that in the headline."""
-    out = {}
-    for t, (en, np_) in topic_patterns().items():
-        one = lambda c, en=en, np_=np_: F.when(c.rlike(f"(?<![a-z0-9_])(?:{en})(?![a-z0-9_])"), 2).otherwise(0) + F.when(c.rlike(np_), 2).otherwise(0)
-        out[t] = one(F.lower(F.coalesce(title, F.lit("")))) * 2 + one(F.lower(F.coalesce(summary, F.lit(""))))
-    return out
+def _hits(said: Column, en: str, np_: str) -> Column:
+    """2 for an English word and 2 for a Nepali stem; ``said`` is struct<text, words> in lower case."""
+    single = [w for w in en.split() if "_" not in w]
+    phrases = [w.replace("_", " ") for w in en.split() if "_" in w]
+    hit = F.arrays_overlap(said["words"], F.array(*[F.lit(w) for w in single]))
+    for p in phrases:  # a phrase is looked for as such first, its ends only where it stands
+        hit = hit | (F.contains(said["text"], F.lit(p)) & said["text"].rlike(f"(?<![a-z0-9_]){p}(?![a-z0-9_])"))
+    stem = F.lit(False)
+    for w in np_.split():
+        stem = stem | F.contains(said["text"], F.lit(w.replace("_", " ")))
+    return F.when(hit, 2).otherwise(0) + F.when(stem, 2).otherwise(0)
+
+
+def _said(c: Column) -> Column:
+    """struct<text, words>: the text in lower case, and its ASCII words."""
+    return let(F.lower(F.coalesce(c, F.lit(""))), lambda t: F.struct(t.alias("text"), F.split(t, "[^a-z0-9_]+").alias("words")))
 
 
 def classify_topic(title: Column, summary: Column, categories: Column) -> Column:
-    """The topic with the highest score if that is enough, else the outlet's first mapped category, else the best topic, else world."""
-    scores = topic_scores(title, summary)
-    high = F.greatest(*scores.values())
-    best = reduce(lambda acc, t: acc.when(scores[t] == high, t), list(scores)[1:], F.when(scores["sports"] == high, "sports"))
+    """The topic with the highest score if that is enough, else the outlet's first mapped category, else the best topic, else world.
+
+    A headline counts twice; of equal scores the topic named first wins.
+    """
+
+    def best(x: Column) -> Column:
+        scores = [F.struct((_hits(x["t"], *w) * 2 + _hits(x["s"], *w)).alias("score"), F.lit(-i).alias("place"), F.lit(t).alias("topic")) for i, (t, w) in enumerate(TOPIC_WORDS.items())]
+        return F.array_max(F.array(*scores))
+
     mapping = F.create_map(*[F.lit(x) for kv in CATEGORY_TOPIC.items() for x in kv])
     mapped = F.get(F.filter(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.try_element_at(mapping, F.lower(c))), lambda t: t.isNotNull()), F.lit(0))
-    return F.when(high >= ACCEPT, best).otherwise(F.coalesce(mapped, F.when(high > 0, best), F.lit("world")))
+    found = let(F.struct(_said(title).alias("t"), _said(summary).alias("s")), best)
+    return let(found, lambda b: F.when(b["score"] >= ACCEPT, b["topic"]).otherwise(F.coalesce(mapped, F.when(b["score"] > 0, b["topic"]), F.lit("world"))))
 
 
 def is_breaking(title: Column) -> Column:

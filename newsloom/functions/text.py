@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let
+
 #: Fixed value: white space, for use inside a character class.
 WS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = f"[{WS}]"
@@ -52,12 +54,15 @@ def _last_space(c: Column) -> Column:
 
 def excerpt(c: Column, most: int = 2500, floor: float = 0.55) -> Column:
     """The text up to its last sentence end within ``most`` characters, if that leaves enough; else up to the last space, else cut."""
-    t = trim(c)
-    head = F.substring(t, 1, most)
-    upto = F.regexp_extract(head, f"(?s)^(.*[{STOP}]){SPACE}", 1)
-    space = _last_space(head)
-    cut = F.when(space > most * floor, F.substring(head, F.lit(1), space)).otherwise(head)
-    return F.when(F.length(t) <= most, t).when(F.length(upto) >= most * floor, trim(upto)).otherwise(F.concat(trim(cut), F.lit("…")))
+
+    def of(t: Column) -> Column:
+        head = F.substring(t, 1, most)
+        upto = F.regexp_extract(head, f"(?s)^(.*[{STOP}]){SPACE}", 1)
+        space = _last_space(head)
+        cut = F.when(space > most * floor, F.substring(head, F.lit(1), space)).otherwise(head)
+        return F.when(F.length(t) <= most, t).otherwise(let(upto, lambda u: F.when(F.length(u) >= most * floor, trim(u)).otherwise(F.concat(trim(cut), F.lit("…")))))
+
+    return let(trim(c), of)
 
 
 def is_longer(c: Column, most: int = 2500) -> Column:
@@ -72,13 +77,17 @@ def normal_breaks(c: Column) -> Column:
 
 def hard_truncate(c: Column, most: int = 1100) -> Column:
     """Like ``excerpt``, for summaries: a sentence end may also be the cut itself, and marks before the cut go."""
-    t = normal_breaks(c)
-    head = F.substring(t, 1, most)
-    upto = F.regexp_extract(head, f"(?s)^(.*[{STOP}])(?:{SPACE}|$)", 1)
     half = most // 2
-    space = _last_space(head)
-    safe = F.when(space > half, F.substring(head, F.lit(1), space)).otherwise(head)
-    return F.when(F.length(t) <= most, t).when(F.length(upto) >= half, trim(upto)).otherwise(F.concat(F.regexp_replace(trim(safe), r"[,;:\-–—]+$", ""), F.lit("…")))
+
+    def of(t: Column) -> Column:
+        head = F.substring(t, 1, most)
+        upto = F.regexp_extract(head, f"(?s)^(.*[{STOP}])(?:{SPACE}|$)", 1)
+        space = _last_space(head)
+        safe = F.when(space > half, F.substring(head, F.lit(1), space)).otherwise(head)
+        short = F.concat(F.regexp_replace(trim(safe), r"[,;:\-–—]+$", ""), F.lit("…"))
+        return F.when(F.length(t) <= most, t).otherwise(let(upto, lambda u: F.when(F.length(u) >= half, trim(u)).otherwise(short)))
+
+    return let(normal_breaks(c), of)
 
 
 def sentences(c: Column) -> Column:
@@ -87,12 +96,17 @@ def sentences(c: Column) -> Column:
 
 def paragraphs(c: Column, most: int = 3, short: int = 280) -> Column:
     """A text in at most ``most`` groups of sentences of about the same number; a short one stays whole."""
-    t = trim(c)
-    s = sentences(c)
-    size = F.ceil(F.size(s) / most).cast("int")
-    groups = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: trim(F.array_join(F.slice(s, i * size + 1, size), " "))), lambda g: g != "")
     empty = F.array().cast("array<string>")
-    return F.when(F.coalesce(t, F.lit("")) == "", empty).when((F.length(t) < short) | (F.size(s) <= 1), F.array(t)).when(F.size(s) <= most, s).otherwise(groups)
+
+    def grouped(s: Column) -> Column:
+        size = F.ceil(F.size(s) / most).cast("int")
+        groups = F.filter(F.array(*[trim(F.array_join(F.slice(s, F.lit(i) * size + 1, size), " ")) for i in range(most)]), lambda g: g != "")
+        return F.when(F.size(s) <= most, s).otherwise(groups)
+
+    def of(t: Column) -> Column:
+        return F.when(F.coalesce(t, F.lit("")) == "", empty).when(F.length(t) < short, F.array(t)).otherwise(let(sentences(t), lambda s: F.when(F.size(s) <= 1, F.array(t)).otherwise(grouped(s))))
+
+    return let(trim(c), of)
 
 
 def words(c: Column) -> Column:
@@ -172,17 +186,21 @@ def is_navigation(c: Column) -> Column:
 
 def echoes_title(title: Column, text: Column) -> Column:
     """Whether the text is the headline, or that and fewer than a dozen characters more."""
-    t, c = (F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "") for x in (title, text))
-    return (t != "") & (c != "") & ((c == t) | (c.startswith(t) & (F.length(c) - F.length(t) < 12)))
+    bare = F.struct(*[F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]", "").alias(n) for x, n in ((title, "t"), (text, "c"))])
+    return let(bare, lambda b: (b["t"] != "") & (b["c"] != "") & ((b["c"] == b["t"]) | (b["c"].startswith(b["t"]) & (F.length(b["c"]) - F.length(b["t"]) < 12))))
 
 
 def standfirst(title: Column, description: Column, least: int = 40) -> Column:
     """What a description says beyond its headline, or nothing."""
-    t = trim(F.coalesce(title, F.lit("")))
-    body = strip_boilerplate(trim(F.coalesce(description, F.lit(""))))
-    rest = F.regexp_replace(F.substring(body, F.length(t) + 1, F.lit(1 << 30)), f"^[{WS}.:;,–—-]+", "")
-    body = F.when((t != "") & F.lower(body).startswith(F.lower(t)), rest).otherwise(body)
-    return F.when((F.length(body) < least) | echoes_title(t, body), "").otherwise(body)
+    given = F.struct(trim(F.coalesce(title, F.lit(""))).alias("t"), strip_boilerplate(trim(F.coalesce(description, F.lit("")))).alias("b"))
+
+    def of(x: Column) -> Column:
+        t, body = x["t"], x["b"]
+        rest = F.regexp_replace(F.substring(body, F.length(t) + 1, F.lit(1 << 30)), f"^[{WS}.:;,–—-]+", "")
+        said = F.when((t != "") & F.lower(body).startswith(F.lower(t)), rest).otherwise(body)
+        return let(said, lambda s: F.when((F.length(s) < least) | echoes_title(t, s), "").otherwise(s))
+
+    return let(given, of)
 
 
 def script_counts(c: Column) -> tuple[Column, Column, Column]:
@@ -192,9 +210,13 @@ def script_counts(c: Column) -> tuple[Column, Column, Column]:
 
 def in_language(c: Column, lang: Column) -> Column:
     """Whether most letters are of the language's script; texts under 8 characters are in none."""
-    t = normal_breaks(c)
-    d, l, _ = script_counts(t)
-    return (F.length(t) >= 8) & (d + l > 0) & F.when(lang == "np", d > l).otherwise(l > d)
+
+    def of(t: Column) -> Column:
+        d, l, _ = script_counts(t)
+        counts = F.struct(d.alias("d"), l.alias("l"))
+        return (F.length(t) >= 8) & let(counts, lambda n: (n["d"] + n["l"] > 0) & F.when(lang == "np", n["d"] > n["l"]).otherwise(n["l"] > n["d"]))
+
+    return let(normal_breaks(c), of)
 
 
 def summary_bounds(lang: Column) -> tuple[Column, Column]:

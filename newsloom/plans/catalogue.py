@@ -15,6 +15,7 @@ from ..functions import text as tx
 from ..functions import url as ul
 from ..operators import archive, dedup, enrich, feed, gate, ledger, rank, subscribers
 from ..schemas import BUCKETS, LANGS, TOPICS, violations
+from ..session import spread
 from ..sources import sinks
 from ..sources.feeds import first_records, table, with_pages
 from ..streaming import streams
@@ -168,7 +169,7 @@ def normalized_times(s, d):
 @query
 def normalize_stories(s, d):
     """Feed records as stories, with all their columns."""
-    n = feed.normalize(table(s, d, "raw_stories"), table(s, d, "sources"))
+    n = feed.normalize(spread(table(s, d, "raw_stories")), table(s, d, "sources"))
     return n.select("raw_id", "id", "bucket", "title", "summary", "topic", "image_url", long(F.col("published_s")).alias("at_s"), long(F.col("credibility")).alias("credibility"))
 
 
@@ -195,7 +196,7 @@ def title_pairs_jaccard(s, d):
 
 
 def _owners(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    a = articles(s, d).where("at_s IS NOT NULL").select("id", "title", "at_s", "source_id", "image_url")
+    a = spread(table(s, d, "articles")).withColumn("at_s", secs("published_at")).where("at_s IS NOT NULL").select("id", "title", "at_s", "source_id", "image_url")
     pairs = dedup.cut(dedup.title_pairs(a, "id", F.col("title"), F.col("at_s")), "pairs")
     return a, dedup.greedy(a, "id", pairs.select("a", "b"), -F.col("at_s"))
 
@@ -218,12 +219,12 @@ def coverage(s, d):
 
 @query
 def excerpts(s, d):
-    return table(s, d, "documents").select("doc_id", tx.excerpt(F.col("text"), 400).alias("excerpt"), tx.is_longer(F.col("text"), 400).alias("longer"))
+    return spread(table(s, d, "documents")).select("doc_id", tx.excerpt(F.col("text"), 400).alias("excerpt"), tx.is_longer(F.col("text"), 400).alias("longer"))
 
 
 @query
 def hard_truncate(s, d):
-    return table(s, d, "documents").select("doc_id", tx.hard_truncate(F.col("text"), 1100).alias("cut"))
+    return spread(table(s, d, "documents")).select("doc_id", tx.hard_truncate(F.col("text"), 1100).alias("cut"))
 
 
 @query
@@ -233,40 +234,40 @@ def truncate_card(s, d):
 
 @query
 def word_counts(s, d):
-    return table(s, d, "documents").select("doc_id", long(tx.count_words(F.col("text"))).alias("words"), long(tx.reading_minutes(F.col("text"))).alias("minutes"))
+    return spread(table(s, d, "documents")).select("doc_id", long(tx.count_words(F.col("text"))).alias("words"), long(tx.reading_minutes(F.col("text"))).alias("minutes"))
 
 
 @query
 def paragraph_split(s, d):
     p = tx.paragraphs(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.posexplode(p).alias("pos", "paragraph")).select("doc_id", long(F.col("pos")).alias("pos"), "paragraph")
+    return spread(table(s, d, "documents")).select("doc_id", F.posexplode(p).alias("pos", "paragraph")).select("doc_id", long(F.col("pos")).alias("pos"), "paragraph")
 
 
 @query
 def html_to_text(s, d):
-    return table(s, d, "raw_stories").select("raw_id", html.to_text(F.coalesce("description", F.lit("")), html.decode_common).alias("text"))
+    return spread(table(s, d, "raw_stories")).select("raw_id", html.to_text(F.coalesce("description", F.lit("")), html.decode_common).alias("text"))
 
 
 @query
 def standfirsts(s, d):
     body = html.to_text(F.coalesce("description", F.lit("")), html.decode_common)
-    return table(s, d, "raw_stories").select("raw_id", tx.standfirst(F.col("title"), body).alias("standfirst"))
+    return spread(table(s, d, "raw_stories")).select("raw_id", tx.standfirst(F.col("title"), body).alias("standfirst"))
 
 
 @query
 def strip_boilerplate(s, d):
-    t = table(s, d, "articles").select("id", tx.strip_boilerplate(F.col("summary")).alias("text"), tx.is_boilerplate(F.col("summary")).alias("pitch"))
+    t = spread(table(s, d, "articles")).select("id", tx.strip_boilerplate(F.col("summary")).alias("text"), tx.is_boilerplate(F.col("summary")).alias("pitch"))
     return t.where("text IS NOT NULL")
 
 
 @query
 def title_echo(s, d):
-    return table(s, d, "raw_stories").select("raw_id", tx.echoes_title(F.col("title"), html.to_text(F.coalesce("description", F.lit("")), html.decode_common)).alias("echo"))
+    return spread(table(s, d, "raw_stories")).select("raw_id", tx.echoes_title(F.col("title"), html.to_text(F.coalesce("description", F.lit("")), html.decode_common)).alias("echo"))
 
 
 @query
 def navigation_text(s, d):
-    return table(s, d, "documents").select("doc_id", tx.is_navigation(F.col("text")).alias("navigation"))
+    return spread(table(s, d, "documents")).select("doc_id", tx.is_navigation(F.col("text")).alias("navigation"))
 
 
 @query
@@ -306,37 +307,37 @@ def summary_bounds(s, d):
 
 @query
 def audit_findings(s, d):
-    a = table(s, d, "articles")
+    a = spread(table(s, d, "articles"))
     f = a.select("id", F.explode(audit.findings(F.col("summary"), F.col("original_lang"), F.col("title"))).alias("f"))
     return f.select("id", "f.code", "f.severity")
 
 
 @query
 def audit_summary(s, d):
-    a = table(s, d, "articles").withColumn("ok", audit.is_ok(audit.findings(F.col("summary"), F.col("original_lang"), F.col("title"))))
+    a = spread(table(s, d, "articles")).withColumn("ok", audit.is_ok(audit.findings(F.col("summary"), F.col("original_lang"), F.col("title"))))
     return a.groupBy("source_id").agg(F.count_if("ok").alias("ok"), F.count("*").alias("n"))
 
 
 @query
 def audit_stories(s, d):
     fs = audit.story_findings(F.col("title"), F.col("summary"), F.col("original_lang"))
-    return table(s, d, "articles").select("id", audit.is_ok(fs).alias("ok"), long(F.size(fs)).alias("n"))
+    return spread(table(s, d, "articles")).select("id", audit.is_ok(fs).alias("ok"), long(F.size(fs)).alias("n"))
 
 
 @query
 def script_ratio(s, d):
     dv, la, n = tx.script_counts(F.col("text"))
-    return table(s, d, "documents").select("doc_id", F.round(dv / n, 6).alias("devanagari"), F.round(la / n, 6).alias("latin")).where("devanagari IS NOT NULL")
+    return spread(table(s, d, "documents")).select("doc_id", F.round(dv / n, 6).alias("devanagari"), F.round(la / n, 6).alias("latin")).where("devanagari IS NOT NULL")
 
 
 @query
 def in_language(s, d):
-    return table(s, d, "documents").where("lang IS NOT NULL").select("doc_id", tx.in_language(F.col("text"), F.col("lang")).alias("ok"))
+    return spread(table(s, d, "documents")).where("lang IS NOT NULL").select("doc_id", tx.in_language(F.col("text"), F.col("lang")).alias("ok"))
 
 
 @query
 def classify_topic(s, d):
-    a = table(s, d, "articles").join(feed.source_dim(table(s, d, "sources").select(F.col("id").alias("source_id"), "categories")), "source_id", "left")
+    a = spread(table(s, d, "articles")).join(feed.source_dim(table(s, d, "sources").select(F.col("id").alias("source_id"), "categories")), "source_id", "left")
     return a.select("id", classify.classify_topic(F.col("title"), F.col("summary"), F.col("categories")).alias("found"))
 
 
@@ -357,7 +358,7 @@ def mask_email(s, d):
 
 @query
 def translation_fidelity(s, d):
-    a = table(s, d, "articles").where("summary_translated IS NOT NULL AND summary IS NOT NULL")
+    a = spread(table(s, d, "articles")).where("summary_translated IS NOT NULL AND summary IS NOT NULL")
     other = F.when(F.col("original_lang") == "en", "np").otherwise("en")
     f = enrich.fidelity(a, F.col("summary"), F.col("summary_translated"), other)
     return f.groupBy("source_id").agg(F.count("*").alias("n"), F.round(F.avg("numbers_kept"), 6).alias("numbers_kept"), F.round(F.avg("script_share"), 6).alias("script_share"), F.round(F.avg("length_ratio"), 6).alias("length_ratio"))
@@ -515,7 +516,7 @@ def reply_pairing(s, d):
 @query
 def enrich_stub(s, d):
     """A stand-in for a model over the archive, and what its audit lets through."""
-    a = table(s, d, "articles").where("original_lang = 'en'")
+    a = spread(table(s, d, "articles")).where("original_lang = 'en'")
     out = enrich.apply(a, enrich.ask(a))
     return out.groupBy("source_id").agg(F.count_if("quality.bilingual").alias("translated"), F.count("*").alias("n"))
 
@@ -530,7 +531,7 @@ def merge_verdicts(s, d):
 
 @query
 def cap_summaries(s, d):
-    return enrich.cap_summaries(table(s, d, "articles")).select("id", "summary")
+    return enrich.cap_summaries(spread(table(s, d, "articles"))).select("id", "summary")
 
 
 @query

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "newsloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,3 +13,12 @@ def get_spark(app: str = "newsloom", master: str | None = None, **conf: str) ->
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table that lies in fewer pieces than there are cores, dealt out over them; any other as it is.
+
+    For plain scans only, before work that is heavy for each row.
+    """
+    n = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(n) if table.rdd.getNumPartitions() < n else table
