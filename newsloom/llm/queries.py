@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
 from . import forms, history, leaks, neardup, packing, residue, subjects, truncation
 from .lineage import cut
 
@@ -15,7 +16,8 @@ CONTAINER = 3
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in ("raw_stories", "articles", "documents") else df
 
 
 def _residue(spark: SparkSession, d: str) -> DataFrame:

@@ -27,9 +27,9 @@ from .lineage import cut
 FIELD_NAMES = "title headline heading summary excerpt teaser lead intro body content caption section author byline date date_line dateline description standfirst name text शीर्षक सारांश विवरण लेखक मिति पाठ तस्बिर"
 #: Notations of an unfilled template field.
 FIELDS = [
-    r"\{\{", r"\{%.{0,80}?%\}", r"<%.{0,80}?%>", r"\{\d{1,2}\}", r"\{[^\W\d][\w.]{2,40}\}",
-    r"%[A-Z][A-Z_.]{2,40}%", r"%[a-z]+(?:_[a-z]+)*%", r"%\{[\w. ]{1,40}\}", r"%\(\w{1,40}\)s", r"@@[\w.]{2,40}@@", r"(?<!\w)__[\w.]{2,40}?__(?!\w)",
-    r"\$\{[\w. ]{1,40}\}?", r"\$[A-Zऀ-ॿ][A-Z_.ऀ-ॿ]{2,40}\$", r"#\{[\w. ]{1,40}\}?", r"\*\|[^|*।]{1,40}[|।]\*", r"\[\[[^\[\]]{1,40}\]\]", r"\[[A-Z][A-Z_.]{2,40}\]",
+    r"\{\{", r"\{%.{0,80}?%\}", r"<%.{0,80}?%>", r"\{\d{1,2}\}", r"\{[^\W\d][\w.ऀ-ॿ]{2,40}\}",
+    r"%[A-Z][A-Z_.]{2,40}%", r"%[a-z]+(?:_[a-z]+)*%", r"%\{[\w.ऀ-ॿ ]{1,40}\}", r"%\([\wऀ-ॿ]{1,40}\)s", r"@@[\w.ऀ-ॿ]{2,40}@@", r"(?<!\w)__[\w.ऀ-ॿ]{2,40}?__(?!\w)",
+    r"\$\{[\w.ऀ-ॿ ]{1,40}\}?", r"\$[A-Zऀ-ॿ][A-Z_.ऀ-ॿ]{2,40}\$", r"#\{[\w.ऀ-ॿ ]{1,40}\}?", r"\*\|[^|*।]{1,40}[|।]\*", r"\[\[[^\[\]]{1,40}\]\]", r"\[[A-Z][A-Z_.]{2,40}\]",
     r"«(?:[a-z]+[_.][a-z_.]+|(?i:" + "|".join(FIELD_NAMES.split()) + r"))»", r"\[(?i:insert|enter|add|paste)\s[^\[\]]{1,60}\]", r"<[^<>]{1,40}\s(?i:goes) here>", r"\bTK TK\b",
 ]
 #: Phrases of placeholders and filler, servers' error pages, and notices that want scripts or cookies.

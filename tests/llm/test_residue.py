@@ -17,7 +17,7 @@ def found(spark, texts):
 
 def test_cases_and_no_cases(spark):
     cases = [
-        "{{ summary }}", NEWS + " %TITLE%", "@@LEAD@@", "<%= title %>", "TK TK caption TK " + NEWS, "[insert body here]", "«date_line»", "$BODY$ x", "{0}", "{{lead " + NEWS, "*|CAPTION|*", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod.", "xxxx foo asdf blah qwer test",
+        "{{ summary }}", NEWS + " %TITLE%", "@@LEAD@@", "<%= title %>", "TK TK caption TK " + NEWS, "[insert body here]", "«date_line»", "$BODY$ x", "{0}", "__सारांश__ " + NEWS, "%{शीर्षक}", "{विवरण}", "{{lead " + NEWS, "*|CAPTION|*", "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod.", "xxxx foo asdf blah qwer test",
         "Text text text text. " + NEWS, "Error 404: Not Found. " + NEWS, "429 Too Many Requests " + NEWS, "<noscript>This site works best with JavaScript enabled.</noscript>", "YOUR BROWSER HAS JAVASCRIPT AND COOKIES SWITCHED OFF, SO PARTS OF THIS PAGE CANNOT BE SHOWN.",
         "Ｅｒｒｏｒ ５０２: Bad Gateway.", "यो पृष्ठ हेर्न ब्राउजरमा जाभास्क्रिप्ट सक्रिय गर्नुहोस्।", "नमुना पाठ नमुना पाठ।",
     ]
