@@ -5,13 +5,17 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..ship import ship
+from .binding import let
 from .text import WIDGET, is_boilerplate, is_navigation, space_after_danda, squeeze, trim
 
+#: Between texts that are decoded together.
+GLUE = "\x1e"
+
 #: Entities by name, with what each stands for.
 ENTITIES = dict(
     x.split(":", 1)
@@ -79,10 +83,14 @@ def meta_tags(html: Column) -> Column:
     return F.filter(F.transform(tags, one), lambda m: m["key"].isNotNull() & (m["content"] != ""))
 
 
+def raw_content(meta: Column, key: str) -> Column:
+    """The first meta tag's content of that key as it stands; '' if there is none."""
+    return F.coalesce(F.get(F.filter(meta, lambda m: m["key"] == key), F.lit(0))["content"], F.lit(""))
+
+
 def meta_content(meta: Column, key: str) -> Column:
     """Text of the first meta tag with that key, decoded and without markup; '' if there is none."""
-    raw = F.get(F.filter(meta, lambda m: m["key"] == key), F.lit(0))["content"]
-    return F.coalesce(clean_for_display(raw), F.lit(""))
+    return clean_for_display(raw_content(meta, key))
 
 
 def json_ld_body(html: Column, blocks: int = 12, size: int = 200_000) -> Column:
@@ -106,54 +114,81 @@ def _longest(sized: Column) -> Column:
     return best["t"]
 
 
-def paragraph_text(html: Column, scan: int = 250_000, least: int = 120, most: int = 6000, decode=decode_entities) -> Column:
-    """The page's paragraphs of running text, until they are more than ``most`` characters."""
-    raw = F.regexp_extract_all(F.substring(html, 1, scan), F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1))
-    if decode is decode_entities:  # a Python function can't run inside a transform: one call for all paragraphs
-        joined = F.split(decode(F.array_join(F.transform(raw, strip_tags), "\x1e")), "\x1e")
-        text = F.transform(joined, squeeze)
-    else:
-        text = F.transform(raw, lambda p: to_text(p, decode))
-    text = F.transform(text, lambda p: F.regexp_replace(p, WIDGET, ""))
+def raw_paragraphs(html: Column, scan: int = 250_000) -> Column:
+    """The contents of the page's paragraphs, without markup but not decoded."""
+    return F.transform(F.regexp_extract_all(F.substring(html, 1, scan), F.lit(r"(?is)<p\b[^>]*>(.*?)</p>"), F.lit(1)), strip_tags)
+
+
+def running_text(paragraphs: Column, least: int = 120, most: int = 6000) -> Column:
+    """Decoded paragraphs of running text joined, until they are more than ``most`` characters."""
+    text = F.transform(paragraphs, lambda p: F.regexp_replace(squeeze(p), WIDGET, ""))
     text = F.filter(text, lambda p: (F.length(p) >= least) & ~is_navigation(p) & ~is_boilerplate(p))
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("ps"))
     taken = F.aggregate(text, start, lambda a, p: F.when(a["n"] > most, a).otherwise(F.struct((a["n"] + F.length(p) + 1).alias("n"), F.concat(a["ps"], F.array(p)).alias("ps"))))
     return trim(F.array_join(taken["ps"], " "))
 
 
-def best_text(html: Column, meta: Column, most: int = 6000) -> Column:
-    """struct(text, via): the best account of the article that the page gives, null if none is long enough.
+def paragraph_text(html: Column, decode=decode_entities) -> Column:
+    """The page's paragraphs of running text."""
+    return running_text(F.split(decode(F.array_join(raw_paragraphs(html), GLUE)), GLUE))
+
+
+def best_of(ladder: Column, paragraphs: Column, most: int = 6000) -> Column:
+    """struct(text, via): the best account of an article, null if none is long enough.
+
+    ``ladder`` is array<struct<via, text>>, best kind first. The first substantial one wins; else the
+    longer of the paragraphs and the first usable one; else the longest, called og.
+    """
+    told = lambda text, via: F.struct(F.substring(text, 1, most).alias("text"), via.alias("via"))
+    first = lambda least: F.get(F.filter(ladder, lambda x: F.length(x["text"]) >= least), F.lit(0))
+
+    def choose(x: Column) -> Column:
+        good, usable, longest, p = x["good"], x["usable"], x["longest"], x["p"]
+        return F.coalesce(
+            F.when(good.isNotNull(), told(good["text"], good["via"])),
+            F.when((F.length(p) >= 120) & (F.length(p) > F.coalesce(F.length(usable["text"]), F.lit(0))), told(p, F.lit("paragraphs"))),
+            F.when(usable.isNotNull(), told(usable["text"], usable["via"])),
+            F.when(F.length(longest) >= 60, told(longest, F.lit("og"))),
+        )
+
+    longest = _longest(F.transform(ladder, lambda x: F.struct(F.length(x["text"]).alias("n"), x["text"].alias("t"))))
+    return let(F.struct(first(600).alias("good"), first(120).alias("usable"), longest.alias("longest"), paragraphs.alias("p")), choose)
+
+
+def absolute(u: Column, site: Column) -> Column:
+    """An address of a page made absolute; null unless it is https then."""
+    full = F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("/") & (site != ""), F.concat(site, u)).otherwise(u)
+    return F.when(full.rlike(r"^https://[^/]+"), full)
+
+
+#: Where a page tells its text and its picture, best first.
+TEXT_KEYS = [("og", "property:og:description"), ("meta", "name:description"), ("twitter", "name:twitter:description")]
+IMAGE_KEYS = ["property:og:image", "property:og:image:url", "name:twitter:image", "name:twitter:image:src"]
+
+
+def parse_articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
+    """The pages with text, via and image_url in place of their HTML; pages with neither text nor picture are left out.
 
-    Structured data, og, meta and twitter descriptions in this order if substantial; else the longer
-    of the paragraphs and the first usable one of those; else the longest.
+    All that has to be decoded of a page goes to Python in one string, twice, as the contents of meta
+    tags may hold markup that is escaped itself.
     """
-    ladder = [("jsonld", json_ld_body(html)), ("og", meta_content(meta, "property:og:description")), ("meta", meta_content(meta, "name:description")), ("twitter", meta_content(meta, "name:twitter:description"))]
-    told = lambda text, via: F.struct(F.substring(text, 1, most).alias("text"), F.lit(via).alias("via"))
-    first = lambda least: F.coalesce(*[F.when(F.length(t) >= least, told(t, v)) for v, t in ladder])
-    paragraphs = paragraph_text(html)
-    usable = first(120)
-    longest = _longest(F.array(*[F.struct(F.length(t).alias("n"), t.alias("t")) for _, t in ladder]))
-    return F.coalesce(
-        first(600),
-        F.when((F.length(paragraphs) >= 120) & (F.length(paragraphs) > F.coalesce(F.length(usable["text"]), F.lit(0))), told(paragraphs, "paragraphs")),
-        usable,
-        F.when(F.length(longest) >= 60, told(longest, "og")),
-    )
-
-
-def page_image(meta: Column, page_url: Column) -> Column:
-    """The first og or twitter picture with an absolute https address, made absolute by the page's."""
-    site = F.regexp_extract(page_url, r"^(https://[^/?#]+)", 1)
-    out = []
-    for key in ("property:og:image", "property:og:image:url", "name:twitter:image", "name:twitter:image:src"):
-        u = meta_content(meta, key)
-        full = F.when(u.startswith("//"), F.concat(F.lit("https:"), u)).when(u.startswith("/") & (site != ""), F.concat(site, u)).otherwise(u)
-        out.append(F.when(full.rlike(r"^https://[^/]+"), full))
-    return F.coalesce(*out)
-
-
-def parse_article(html: Column, page_url: Column) -> Column:
-    """struct(text, via, image_url) of a page; null if it has neither text nor picture."""
-    meta = meta_tags(html)
-    best, image = best_text(html, meta), page_image(meta, page_url)
-    return F.when(best.isNotNull() | image.isNotNull(), F.struct(F.coalesce(space_after_danda(best["text"]), F.lit("")).alias("text"), F.coalesce(best["via"], F.lit("og")).alias("via"), image.alias("image_url")))
+    keys = [k for _, k in TEXT_KEYS] + IMAGE_KEYS
+    t = pages.withColumn("_m", meta_tags(F.col(html))).withColumn("_ld", json_ld_body(F.col(html))).withColumn("_p", raw_paragraphs(F.col(html)))
+    t = t.withColumn("_raw", F.array_join(F.array(*[raw_content(F.col("_m"), k) for k in keys]), GLUE)).drop(html, "_m")
+    t = t.withColumn("_once", F.transform(F.split(decode_entities(F.col("_raw")), GLUE), strip_tags))
+    t = t.withColumn("_all", F.split(decode_entities(F.array_join(F.concat("_once", "_p"), GLUE)), GLUE)).drop("_raw", "_once", "_p")
+    n = len(keys)
+    said = lambda i: squeeze(F.get("_all", F.lit(i)))
+    ladder = F.array(F.struct(F.lit("jsonld").alias("via"), F.col("_ld").alias("text")), *[F.struct(F.lit(v).alias("via"), said(i).alias("text")) for i, (v, _) in enumerate(TEXT_KEYS)])
+    site = F.regexp_extract(url, r"^(https://[^/?#]+)", 1)
+    images = F.coalesce(*[absolute(said(len(TEXT_KEYS) + i), site) for i in range(len(IMAGE_KEYS))])
+    found = F.struct(best_of(ladder, running_text(F.slice("_all", n + 1, 1 << 20))).alias("b"), images.alias("i"))
+
+    def result(x: Column) -> Column:
+        b = x["b"]
+        return F.struct(F.coalesce(space_after_danda(b["text"]), F.lit("")).alias("text"), F.coalesce(b["via"], F.lit("og")).alias("via"), x["i"].alias("image_url"), (b.isNotNull() | x["i"].isNotNull()).alias("any"))
+
+    # exploded, not filtered: a filter would be pushed below and work everything out again
+    kept = [c for c in pages.columns if c != html]
+    out = t.select(*kept, F.explode(F.filter(F.array(let(found, result)), lambda r: r["any"])).alias("_r"))
+    return out.select(*kept, "_r.text", "_r.via", "_r.image_url")

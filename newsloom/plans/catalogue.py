@@ -7,17 +7,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import audit, classify, html
+from ..functions import audit, classify, html, tokens
 from ..functions import text as tx
 from ..functions import url as ul
 from ..operators import archive, dedup, enrich, feed, gate, ledger, rank, subscribers
 from ..schemas import BUCKETS, LANGS, TOPICS, violations
 from ..session import spread
+from ..ship import ship
 from ..sources import sinks
-from ..sources.feeds import first_records, table, with_pages
+from ..lineage import new_path
+from ..sources.feeds import first_records, read_feeds, read_pages, table, with_pages
 from ..streaming import streams
 from . import oracles
 
@@ -675,6 +678,85 @@ def stream_upsert(s, d):
     return a.select("id", "title", "title_translated", secs("first_seen_at").alias("first_s"), secs("last_seen_at").alias("last_s"))
 
 
+@query
+def stream_first_hits(s, d):
+    """How many events of each user a limit lets through, with state kept by user."""
+    r = streams.run_to_end(streams.first_hit_limit(streams.read_stream(s, d, "events"), "user_id", "ts", 21_600, 2), "hits")
+    return r.groupBy("user_id").agg(F.sum("allowed").alias("allowed"), F.sum("denied").alias("denied"))
+
+
+# ------------------------------------------------------------------ files, pages, tokens
+
+
+def _as_file(batches):
+    """The items of a file between the head and the foot of a feed."""
+    line = lambda x: pa.record_batch([pa.array([x])], names=["value"])
+    yield line('<?xml version="1.0"?><rss version="2.0"><channel>')
+    yield from batches
+    yield line("</channel></rss>")
+
+
+@query
+def xml_feed_parse(s, d):
+    """Feed records written as RSS items and read again."""
+    x = lambda c: tx.escape_markup(F.coalesce(c, F.lit("")))
+    raw = spread(table(s, d, "raw_stories"))
+    item = F.concat(F.lit("<item><title>"), x(F.col("title")), F.lit("</title><link>"), x(F.col("url")), F.lit("</link><description>"), x(F.col("description")), F.lit("</description><guid>"), F.col("raw_id").cast("string"), F.lit("</guid></item>"))
+    path = new_path(s, "feeds")
+    ship(s)
+    raw.select(item.alias("value")).mapInArrow(_as_file, "value string").write.text(path)
+    return read_feeds(s, path).select(F.col("guid").cast("long").alias("raw_id"), "title", "url", "description")
+
+
+def _pages(s: SparkSession, d: str) -> DataFrame:
+    a = spread(table(s, d, "articles")).where("summary IS NOT NULL AND summary <> ''")
+    x = lambda c: tx.escape_markup(F.coalesce(c, F.lit("")))
+    ld = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("NewsArticle").alias("@type"), F.concat("summary", F.lit(" "), "summary").alias("articleBody"))), F.lit("</script>"))
+    head = F.concat(F.lit('<html><head><meta property="og:title" content="'), x(F.col("title")), F.lit('"><meta content="'), x(F.substring("summary", 1, 140)), F.lit('" name="description"><meta property="og:image" content="'), x(F.col("image_url")), F.lit('">'), F.when(F.col("coverage_count") > 1, ld).otherwise(""), F.lit("</head>"))
+    body = F.concat(F.lit("<body><script>if (1 < 2) {}</script><p>Share</p><p class='t'>"), x(F.col("summary")), F.lit("</p><p>All rights reserved.</p></body></html>"))
+    return a.select("id", F.col("source_url").alias("url"), F.lit("text/html; charset=utf-8").alias("content_type"), F.concat(head, body).alias("html"), "summary", "coverage_count", "image_url")
+
+
+@query
+def parse_pages(s, d):
+    """Pages made of the archive, read: which account of the article each gives."""
+    p = _pages(s, d)
+    return read_pages(p).groupBy("via").agg(F.count("*").alias("n"), F.count("image_url").alias("images"))
+
+
+@query
+def page_meta(s, d):
+    p = _pages(s, d).withColumn("m", html.meta_tags(F.col("html")))
+    return p.select("id", long(F.size("m")).alias("tags"), html.meta_content(F.col("m"), "property:og:title").alias("title"))
+
+
+@query
+def page_paragraphs(s, d):
+    return _pages(s, d).select("id", html.paragraph_text(F.col("html"), decode=html.decode_common).alias("text"))
+
+
+@query
+def signed_tokens(s, d):
+    sub = table(s, d, "subscribers").where("email IS NOT NULL AND requested_at IS NOT NULL").withColumn("t", secs("requested_at"))
+    return sub.select("id", tokens.create(F.col("email"), "confirm", F.col("t"), b"secret").alias("token"))
+
+
+@query
+def token_checks(s, d):
+    sub = table(s, d, "subscribers").where("email IS NOT NULL AND requested_at IS NOT NULL").withColumn("t", secs("requested_at"))
+    token = tokens.create(F.col("email"), "confirm", F.col("t"), b"secret")
+    sub = sub.withColumn("token", F.when(F.col("id") % 4 == 0, F.concat(token, F.lit("x"))).when(F.col("id") % 4 == 1, "none").otherwise(token))
+    v = tokens.verify(F.col("token"), "confirm", F.col("t") + F.when(F.col("id") % 4 == 2, 3 * 86_400).otherwise(0), b"secret")
+    return sub.select("id", v.alias("v")).select("id", "v.ok", "v.email", "v.reason")
+
+
+@query
+def recent_stories(s, d):
+    """A range of time by a parameterised statement."""
+    articles(s, d).createOrReplaceTempView("newsloom_articles")
+    return s.sql("SELECT id, at_s FROM newsloom_articles WHERE at_s BETWEEN :since AND :until ORDER BY at_s DESC, id LIMIT 300", args={"since": AS_OF - 72 * 3_600, "until": AS_OF + 3_600})
+
+
 # ------------------------------------------------------------------ sinks
 
 

