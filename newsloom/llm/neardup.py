@@ -25,6 +25,8 @@ from .lineage import cut
 ROWS, BANDS = 4, 64
 #: Texts that share a band are compared directly up to so many; more of them are joined on rare shingles instead.
 HOT = 200
+#: Classes that a task remembers having written; a copy of an older one is merged only after the shuffle.
+REMEMBERED = 100_000
 
 
 def superminhash(row: np.ndarray, h: np.ndarray, n: int, m: int) -> np.ndarray:
@@ -99,7 +101,7 @@ def signatures(df: DataFrame, id_col: str, columns: list[str], k: int, bands: in
                 new = np.zeros(n, bool)
                 new[first] = True
                 new &= has & ~np.isin(cls, seen)
-                seen = np.r_[seen, cls[new]]
+                seen = np.r_[seen, cls[new]][-REMEMBERED:]
                 number = np.cumsum(new) - 1
                 own = new[row]
                 sig = superminhash(number[row[own]], h[own], int(new.sum()), m)

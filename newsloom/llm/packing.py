@@ -31,6 +31,9 @@ TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 WINDOW, PART, FAN = 64, 50_000, 16
 #: Containers that are emptier than this at the end of a partition are taken apart for the next level.
 FULL = 0.995
+#: Sources with a queue of their own; if there are more, the smaller ones share one queue.
+MOST_SOURCES = 10_000
+OTHERS = "(others)"
 
 
 def tokenizer_file(path: str | None = None) -> bytes:
@@ -171,7 +174,7 @@ def fill(size: np.ndarray, source: np.ndarray, share: np.ndarray, owed: np.ndarr
     return box, place, used
 
 
-def pack(lengths: DataFrame, capacity: int, targets: dict[str | None, float] | None = None, window: int = WINDOW, part: int = PART, fan: int = FAN) -> DataFrame:
+def pack(lengths: DataFrame, capacity: int, targets: dict[str | None, float] | None = None, window: int = WINDOW, part: int = PART, fan: int = FAN, most_sources: int = MOST_SOURCES) -> DataFrame:
     """(doc_id, piece, first_token, tokens, container, place): where each document or piece stands.
 
     ``lengths`` has doc_id, source and tokens. A document is divided only if it has more tokens than
@@ -183,7 +186,12 @@ def pack(lengths: DataFrame, capacity: int, targets: dict[str | None, float] | N
         raise ValueError("capacity must be positive")
     spark = lengths.sparkSession
     items = lengths.where("tokens > 0").select("doc_id", "source", F.col("tokens").cast("long").alias("tokens"))
-    totals = {r["source"]: (r["tokens"], r["n"]) for r in items.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()}  # one row a source
+    each = items.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    if each.limit(most_sources + 1).count() > most_sources:
+        large = F.broadcast(each.orderBy(F.col("tokens").desc(), "source").limit(most_sources).select(F.col("source").alias("named"), F.lit(True).alias("large")))
+        items = items.join(large, F.col("source").eqNullSafe(F.col("named")), "left").select("doc_id", F.when(F.col("large"), F.col("source")).otherwise(OTHERS).alias("source"), "tokens")
+        each = items.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    totals = {r["source"]: (r["tokens"], r["n"]) for r in each.collect()}  # one row a queue
     sources = sorted(totals, key=lambda s: (s is None, s or ""))
     weight = np.array([(targets or {}).get(s, 0.0) if targets else totals[s][0] for s in sources], float)
     share = weight / weight.sum() if weight.sum() > 0 else np.full(len(sources), 1 / max(len(sources), 1))

@@ -55,6 +55,12 @@ def test_mixture_follows_the_targets(spark):
             assert abs(mix[s] / sum(mix.values()) - want) < 0.06, (w, s)
 
 
+def test_many_small_sources_share_a_queue(spark):
+    sizes = {i: 5 + i % 20 for i in range(300)}
+    df = spark.createDataFrame([(i, "big" if i % 2 else (f"s{i}" if i % 5 else None), n, "") for i, n in sizes.items()], SCHEMA)
+    check(K.pack(df, 100, window=4, most_sources=3).collect(), sizes, 100)
+
+
 def test_limits(spark):
     rows = [(1, None, 0, ""), (2, "s", None, ""), (3, "s", 10, ""), (4, "s", 25, ""), (5, None, 3, "")]
     df = spark.createDataFrame(rows, SCHEMA)
