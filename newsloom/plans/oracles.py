@@ -176,7 +176,8 @@ def _audit() -> str:
     return " UNION ALL ".join(f"SELECT id, source_id, {code} AS code, '{sev}' AS severity FROM {src} WHERE {cond}" for cond, code, sev in checks)
 
 
-def _topic() -> str:
+def _topic(source: str = "(SELECT id, source_id, lower(coalesce(title, '')) AS t, lower(coalesce(summary, '')) AS b FROM articles)") -> str:
+    """(id, found) of rows (id, source_id, t, b) with headline and summary in lower case."""
     cols, order = [], list(TOPIC_WORDS)
     for t, (en, np_) in topic_patterns().items():
         one = lambda c, en=en, np_=np_: f"(CASE WHEN regexp_matches({c}, {q(chr(92) + 'b(?:' + en + ')' + chr(92) + 'b')}) THEN 2 ELSE 0 END + CASE WHEN regexp_matches({c}, {q(np_)}) THEN 2 ELSE 0 END)"
@@ -185,7 +186,7 @@ def _topic() -> str:
     best = "CASE " + " ".join(f"WHEN {t} = {high} THEN '{t}'" for t in order) + " END"
     mapping = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in CATEGORY_TOPIC.items()) + "}"
     mapped = f"list_filter(list_transform(coalesce(categories, []), lambda c: {mapping}[lower(c)]), lambda m: m IS NOT NULL)[1]"
-    inner = f"SELECT a.id, s.categories, {', '.join(cols)} FROM (SELECT id, source_id, lower(coalesce(title, '')) AS t, lower(coalesce(summary, '')) AS b FROM articles) a LEFT JOIN sources s ON s.id = a.source_id"
+    inner = f"SELECT a.id, s.categories, {', '.join(cols)} FROM {source} a LEFT JOIN sources s ON s.id = a.source_id"
     return f"SELECT id, CASE WHEN {high} >= 4 THEN {best} ELSE coalesce({mapped}, CASE WHEN {high} > 0 THEN {best} END, 'world') END AS found FROM ({inner})"
 
 
@@ -362,3 +363,25 @@ def _blob(data: bytes) -> str:
 _PAYLOAD = """translate(rtrim(base64(encode('{"e":"' || lower(trim(email)) || '","k":"confirm","t":' || t || '}')), '='), '+/', '-_')"""
 SQL["signed_tokens"] = f"""SELECT id, p || '.' || translate(rtrim(base64(unhex(sha256({_blob(bytes(x ^ 0x5C for x in _OUT))} || unhex(sha256({_blob(bytes(x ^ 0x36 for x in _IN))} || encode(p)))))), '='), '+/', '-_') AS token
   FROM (SELECT id, {_PAYLOAD} AS p FROM (SELECT id, email, {secs('requested_at')} AS t FROM subscribers WHERE email IS NOT NULL AND requested_at IS NOT NULL))"""
+
+_STANDFIRST = f"""(SELECT *, CASE WHEN length(rest) < 40 OR {echo('t', 'rest')} THEN '' ELSE rest END AS summary FROM (
+  SELECT *, CASE WHEN t <> '' AND starts_with(lower(b), lower(t)) THEN regexp_replace(substr(b, length(t) + 1), '^[{WS}.:;,–—-]+', '') ELSE b END AS rest FROM (
+    SELECT *, {trim('title')} AS t, {strip_boilerplate(trim('body'))} AS b FROM (SELECT raw_id, source_id, url, image_url, fetched_at, pub_date, {to_text('title')} AS title, {to_text('description')} AS body FROM raw_stories))))"""
+SQL["normalize_stories"] = f"""WITH n AS (SELECT *, {secs('fetched_at')} AS now_s, CAST(least(coalesce({PUB}, {URL_DATE}, {secs('fetched_at')}), {secs('fetched_at')}) AS BIGINT) AS at_s FROM {_STANDFIRST}),
+  k AS ({_topic('(SELECT raw_id AS id, source_id, lower(title) AS t, lower(summary) AS b FROM n)')})
+  SELECT n.raw_id, {FINGERPRINT.replace('url', 'n.url')} AS id, s.bucket, n.title, n.summary,
+    CASE WHEN now_s - at_s < 10800 AND regexp_matches(n.title, '(?i)\\b(?:breaking|just in|live updates?|developing)\\b|ताजा अपडेट|भर्खरै') THEN 'breaking' ELSE k.found END AS topic,
+    {SQL["clean_images"].removeprefix("SELECT raw_id, ").removesuffix(" AS image_url FROM raw_stories").replace("image_url", "n.image_url")} AS image_url, at_s, CAST(coalesce(s.credibility_score, 5) AS BIGINT) AS credibility
+  FROM n JOIN sources s ON s.id = n.source_id JOIN k ON k.id = n.raw_id"""
+
+
+def _cap(most: int) -> str:
+    t = normal_breaks("summary")
+    upto = f"regexp_extract(left({t}, {most}), '(?s)^(.*[.!?।])(?:[{WS}]|$)', 1)"
+    head = f"left({t}, {most})"
+    space = f"(CASE WHEN contains({head}, ' ') THEN length({head}) - instr(reverse({head}), ' ') ELSE -1 END)"
+    safe = trim(f"CASE WHEN {space} > {most // 2} THEN left({head}, {space}) ELSE {head} END")
+    return f"CASE WHEN length({t}) <= {most} THEN {t} WHEN length({upto}) >= {most // 2} THEN {trim(upto)} ELSE regexp_replace({safe}, '[,;:\\-–—]+$', '') || '…' END"
+
+
+SQL["cap_summaries"] = f"SELECT id, CASE WHEN coalesce(enrichment_key, '') <> '' THEN summary WHEN original_lang = 'np' THEN {_cap(1210)} ELSE {_cap(1100)} END AS summary FROM articles"
