@@ -144,8 +144,8 @@ GREEDY_SQL = f"""WITH RECURSIVE {PAIRS_SQL},
 D_, L_, N_ = unaccent_counts("x")
 
 
-def _audit() -> str:
-    """One row for each finding: id, code, severity."""
+def _audit(text: str = "summary", least: int = 60, terminal: bool = True) -> str:
+    """One row for each finding: id, code, severity. A headline's own text is not held against itself."""
     head = f"regexp_replace(regexp_replace(lower(coalesce(title, '')), '[{WS}]+', ' ', 'g'), '[.!?।…{WS}]+$', '')"
     body = f"regexp_replace(regexp_replace(lower(x), '[{WS}]+', ' ', 'g'), '[.!?।…{WS}]+$', '')"
     dr, lr = f"(CASE WHEN {N_} > 0 THEN {D_} * 1.0 / {N_} ELSE 0.0 END)", f"(CASE WHEN {N_} > 0 THEN {L_} * 1.0 / {N_} ELSE 0.0 END)"
@@ -159,7 +159,7 @@ def _audit() -> str:
     long_ = f"list_filter(list_transform({split}, lambda s: regexp_replace(lower({trim('s')}), '[{WS}]+', ' ', 'g')), lambda s: length(s) >= 40)"
     checks = [
         ("x = ''", "'empty'", "fatal"),
-        ("x <> '' AND length(x) < 60", "'too-short'", "fatal"),
+        (f"x <> '' AND length(x) < {least}", "'too-short'", "fatal"),
         (f"x <> '' AND NOT {np_} AND {dr} > 0.02", f"CASE WHEN {dr} > 0.5 THEN 'wrong-script' ELSE 'script-mixed' END", "fatal"),
         (f"x <> '' AND {np_} AND {lr} > 0.35", f"CASE WHEN {lr} > 0.7 THEN 'wrong-script' ELSE 'script-mixed' END", "fatal"),
         (f"x <> '' AND {np_} AND {D_} = 0", "'wrong-script'", "fatal"),
@@ -168,11 +168,13 @@ def _audit() -> str:
         (r"regexp_matches(x, '&(?:[a-zA-Z]{2,8}|#\d{1,7}|#x[0-9a-fA-F]{1,6});')", "'entity-leak'", "fatal"),
         (f"regexp_matches(x, {q(preamble)})", "'model-preamble'", "fatal"),
         (f"regexp_matches(x, {q(refusal)})", "'model-refusal'", "fatal"),
-        (f"x <> '' AND (NOT {clean} OR regexp_matches(x, {q(dangling)}))", "'truncated'", "fatal"),
+        (f"x <> '' AND ({f'NOT {clean}' if terminal else 'false'} OR regexp_matches(x, {q(dangling)}))", "'truncated'", "fatal"),
         (f"len({long_}) <> len(list_distinct({long_}))", "'repetition'", "warn"),
         (f"x <> '' AND {trim(head)} <> '' AND ({trim(body)} = {trim(head)} OR (length({trim(body)}) < length({trim(head)}) * 1.3 AND starts_with({trim(body)}, {trim(head)})))", "'headline-echo'", "fatal"),
     ]
-    src = f"(SELECT *, {trim('coalesce(summary, ' + q('') + ')')} AS x FROM articles)"
+    if text == "title":
+        checks.pop()
+    src = f"(SELECT *, {trim(f'coalesce({text}, ' + q('') + ')')} AS x FROM articles)"
     return " UNION ALL ".join(f"SELECT id, source_id, {code} AS code, '{sev}' AS severity FROM {src} WHERE {cond}" for cond, code, sev in checks)
 
 
@@ -385,3 +387,12 @@ def _cap(most: int) -> str:
 
 
 SQL["cap_summaries"] = f"SELECT id, CASE WHEN coalesce(enrichment_key, '') <> '' THEN summary WHEN original_lang = 'np' THEN {_cap(1210)} ELSE {_cap(1100)} END AS summary FROM articles"
+SQL["audit_stories"] = f"""SELECT a.id, count(*) FILTER (WHERE severity = 'fatal') = 0 AS ok, count(code) AS n FROM articles a
+  LEFT JOIN (SELECT * FROM ({_audit()}) UNION ALL SELECT * FROM ({_audit("title", 10, False)})) f ON f.id = a.id GROUP BY 1"""
+
+# FNV-1a over code points
+SQL["content_keys"] = """WITH h AS (SELECT id, list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(string_split(title, ''), lambda c: CAST(unicode(c) AS UBIGINT))), lambda a, c: (xor(a, c) * 16777619) & 4294967295) AS h FROM articles WHERE title IS NOT NULL)
+  SELECT id, id || ':' || lower(to_base(CAST(h AS BIGINT), 36)) AS key FROM h"""
+SQL["page_paragraphs"] = f"""SELECT id, CASE WHEN length(p) >= 120 AND n > 0 AND len(regexp_split_to_array(p, '[{WS}]+')) * 1.0 / greatest(1, n) <= 40 AND NOT regexp_matches(p, {q(PAGE_BOILERPLATE)}) THEN p ELSE '' END AS text FROM (
+  SELECT id, p, len(regexp_extract_all(p, '[.!?।]')) AS n FROM (
+    SELECT id, regexp_replace({squeeze("summary")}, '(?i)^(?:shares?|tweet|share this|follow us|advertisement|listen to this article)[{WS}]+', '') AS p FROM articles WHERE summary <> ''))"""
