@@ -2,10 +2,12 @@
 
 Texts are brought to one form and cut into segments. A segment is *trusted residue* if it is made
 of phrases known from templates and servers; a text is residue at once if it holds an unfilled
-template field. All segments get a 64-bit SimHash; partitioned SimHash tables (every pair of five
-blocks of the hash is a table's key, so any two hashes at most three bits apart share a key) find
-the near-duplicates of labelled segments, Hamming distance and shared words verify them, and the
-label spreads along verified pairs until no component that holds a trusted segment grows further.
+template field. All segments get a 64-bit SimHash of their shingles. Candidates for near-duplicates
+of labelled segments share a key of the partitioned SimHash tables (every pair of five blocks of the
+hash is a table's key, so any two hashes at most three bits apart share a key) or one of their first
+shingles in the order of their hashes: as many as any segment of the similarity must share one of,
+so no pair is missed. Hamming distance and shared shingles verify them, and the label spreads along
+verified pairs until no component that holds a trusted segment grows further.
 """
 
 from __future__ import annotations
@@ -194,14 +196,21 @@ FILLER = "lorem ipsum dolor amet consectetur consectetuer adipiscing elit eiusmo
 COVERED = 0.6
 #: A phrase of so many words outside quotes is trusted wherever it stands, one word fewer at the head of a segment.
 STRONG_WORDS = 4
-HAMMING = 3
+#: Hashes farther apart are no candidates. Of 200,000 pairs just at SIMILARITY the farthest were 25 bits apart (99.9 % within 19), unrelated hashes are 32.
+HAMMING = 32
 SIMILARITY = 0.8
 SHINGLE = 5
 #: Blocks of the SimHash; every two of them are the key of one table.
 BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 TABLES = list(combinations(range(len(BLOCKS)), 2))
+#: The tables are made for hashes this near; a pair that only shares a key of theirs and is farther apart met by chance.
+TABLES_FIND = 3
+#: Keys out of shingles have this bit, which keys of the tables have not.
+PREFIX = 1 << 62
 #: Bits of the bitmap that tells which keys any labelled segment has: 128 kB whatever the data.
 BITMAP = 1 << 20
+#: So many candidate pairs are broadcast at most; more are shuffled.
+MOST_PAIRS = 1_000_000
 
 
 def _words(text: str) -> np.ndarray:
@@ -230,15 +239,18 @@ def _is_in(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
 
 
-def _has_field(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Which rows hold a template field; only rows with a character of such a notation are looked at one by one."""
+def _has_field(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows hold a template field, and which code points are in one; only rows with a character of such a notation are looked at one by one."""
     signal = np.isin(cp, np.frombuffer("{}[]<%@_$#*«K".encode("utf-32-le"), np.uint32))
     rows = np.unique(A.row_of(off, np.flatnonzero(signal)))
     out = np.zeros(len(off) - 1, bool)
+    inside = np.zeros(len(cp), bool)
     pattern = _fields()
     for r in rows:
-        out[r] = pattern.search(cp[off[r] : off[r + 1]].tobytes().decode("utf-32-le")) is not None
-    return out
+        for m in pattern.finditer(cp[off[r] : off[r + 1]].tobytes().decode("utf-32-le")):
+            out[r] = True
+            inside[off[r] + m.start() : off[r] + m.end()] = True
+    return out, inside
 
 
 def _segments(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -287,10 +299,26 @@ def table_keys(sim: np.ndarray) -> np.ndarray:
     return np.stack([(part[i] << np.uint64(13) | part[j]) * np.uint64(16) + np.uint64(k) for k, (i, j) in enumerate(TABLES)], axis=1).astype(np.int64)
 
 
+def prefix_keys(shingles: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of the first shingles of each set: two sets of at least SIMILARITY share one of them, as the shingles of each are in one order."""
+    size = shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.where(size > 0, size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1, 0)
+    row = np.repeat(np.arange(len(size)), first)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(first) - first, first) + np.repeat(np.cumsum(size) - size, first)
+    return row, shingles.flatten().to_numpy()[at] & np.int64(PREFIX - 1) | np.int64(PREFIX)
+
+
+def _keys(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Row and key of all candidate keys of the segments of a batch."""
+    tables = table_keys(batch.column("sim").to_numpy().astype(np.uint64))
+    row, key = prefix_keys(batch.column("shingles"))
+    return np.r_[np.repeat(np.arange(len(tables)), tables.shape[1]), row], np.r_[tables.reshape(-1), key]
+
+
 def scan(texts: pa.Array) -> dict[str, np.ndarray]:
     """Per segment of the texts: row, hash, SimHash, shingles, and whether it is trusted residue; per row: whether it has a field."""
     cp, off, _ = A.canonical(*A.explode(texts))
-    field = _has_field(cp, off)
+    field, in_field = _has_field(cp, off)
     seg_of = _segments(cp, off)
     w = A.Words(A.blank_tags(cp, off), off)
     seg = seg_of[w.start] - 1 if len(w) else np.empty(0, np.int64)
@@ -334,6 +362,8 @@ def scan(texts: pa.Array) -> dict[str, np.ndarray]:
     row = np.zeros(n, np.int64)
     row[seg] = w.row
     words = np.bincount(seg, minlength=n)
+    if in_field.any():  # a segment that is a field, and not so short that it is one of its names alone
+        trusted |= (words >= SHINGLE) & (np.bincount(seg[in_field[w.start]], minlength=n) >= COVERED * words)
     k = SHINGLE
     g, gs = A.shingle(h, seg, k)
     short = np.flatnonzero(words < k)  # a segment shorter than a shingle is one shingle
@@ -343,7 +373,7 @@ def scan(texts: pa.Array) -> dict[str, np.ndarray]:
         more = words[short] > j
         whole[more] = whole[more] * np.uint64(0x100000001B3) + h[pos[more] + j]
     gs, g = A.distinct(np.r_[gs, short], np.r_[g, A.mix(whole)])
-    return {"row": row, "sim": simhash(h, seg, n), "trusted": trusted, "words": words, "shingle": g, "shingle_seg": gs, "field": field}
+    return {"row": row, "sim": simhash(g, gs, n), "trusted": trusted, "words": words, "shingle": g, "shingle_seg": gs, "field": field}
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -375,27 +405,29 @@ def _bitmap(labelled: DataFrame) -> bytes:
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = table_keys(b.column("sim").to_numpy().astype(np.uint64))
+            _, k = _keys(b)
             yield pa.record_batch([pa.array(np.unique(k % BITMAP))], names=["bit"])
 
     bits = np.zeros(BITMAP, bool)
-    for b in A.over(labelled.select("sim"), keys, "bit long").distinct().toArrow().to_batches():
+    for b in A.over(labelled.select("sim", "shingles"), keys, "bit long").distinct().toArrow().to_batches():
         bits[b.column("bit").to_numpy()] = True
     return np.packbits(bits).tobytes()
 
 
 def _keyed(df: DataFrame, bitmap: bytes | None) -> DataFrame:
-    """One row for each table key of a segment; with a bitmap only for keys that a labelled segment may have."""
+    """One row for each candidate key of a segment; with a bitmap only for keys that a labelled segment may have."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool) if bitmap else None
         for b in batches:
-            k = table_keys(b.column("sim").to_numpy().astype(np.uint64))
-            r, c = np.nonzero(bits[k % BITMAP]) if bits is not None else np.nonzero(np.ones(k.shape, bool))
+            r, k = _keys(b)
+            if bits is not None:
+                may = bits[k % BITMAP]
+                r, k = r[may], k[may]
             take = pa.array(r)
-            yield pa.record_batch([pa.array(k[r, c]), b.column("sim").take(take), b.column("shingles").take(take)], names=["key", "sim", "shingles"])
+            yield pa.record_batch([pa.array(k), b.column("code").take(take), b.column("sim").take(take)], names=["key", "code", "sim"])
 
-    return A.over(df.select("sim", "shingles"), rows, "key long, sim long, shingles array<long>")
+    return A.over(df.select("code", "sim", "shingles"), rows, "key long, code long, sim long").distinct()
 
 
 def residue_rows(texts: DataFrame, max_rounds: int = 50) -> DataFrame:
@@ -406,15 +438,21 @@ def residue_rows(texts: DataFrame, max_rounds: int = 50) -> DataFrame:
     labels nothing new; ``max_rounds`` only guards against a loop without end and raises if reached.
     """
     segments = cut(A.over(texts.select("table_name", "row_key", "text").where(F.length("text") > 0), _segment_rows, SEGMENTS), "segments")
-    new = segments.where("trusted").select("sim", "shingles").distinct()
-    open_ = segments.where("NOT trusted AND NOT field").select("sim", "shingles")
+    code = F.xxhash64("shingles").alias("code")  # stands for the shingles until pairs are known
+    new = segments.where("trusted").select(code, "sim", "shingles").distinct()
+    open_ = segments.where("NOT trusted AND NOT field").select(code, "sim", "shingles")
     spread: list[DataFrame] = []
     for _ in range(max_rounds):
-        near = _keyed(open_, _bitmap(new)).dropDuplicates(["key", "sim", "shingles"])
-        pairs = near.alias("a").join(_keyed(new, None).alias("b"), "key")
+        met = _keyed(open_, _bitmap(new)).join(_keyed(new, None).toDF("key", "of", "of_sim"), "key")
+        apart = F.bit_count(F.col("sim").bitwiseXOR(F.col("of_sim")))
+        met = met.where((apart <= TABLES_FIND) | ((F.col("key") >= PREFIX) & (apart <= HAMMING)))
+        pairs = cut(met.select("code", "of").distinct(), "pairs")
+        if pairs.limit(MOST_PAIRS + 1).count() <= MOST_PAIRS:
+            pairs = F.broadcast(pairs)
+        pairs = open_.join(pairs, "code").distinct().alias("a").join(new.alias("b"), F.col("a.of") == F.col("b.code"))
         both = F.size(F.array_intersect("a.shingles", "b.shingles"))
         alike = both >= SIMILARITY * (F.size("a.shingles") + F.size("b.shingles") - both)
-        found = pairs.where((F.bit_count(F.col("a.sim").bitwiseXOR(F.col("b.sim"))) <= HAMMING) & alike).select("a.sim", "a.shingles").distinct()
+        found = pairs.where(alike).select("a.code", "a.sim", "a.shingles").distinct()
         for before in spread:
             found = found.join(before, ["sim", "shingles"], "left_anti")
         new = cut(found, "labelled")

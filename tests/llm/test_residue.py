@@ -88,3 +88,30 @@ def test_feed_texts(spark, n):
     art = spark.createDataFrame([("a", NEWS, "extra")], "id string, summary string, row_key string")
     t = R.feed_texts(raw, art if n == 2 else None)
     assert t.count() == n and {(r.table_name, r.row_key) for r in R.residue_rows(t).collect()} == {("raw_stories", "5")}
+
+
+def test_spreading_misses_no_pair_of_the_similarity(spark):
+    rng = np.random.default_rng(3)
+    words = [a + b + c for a in "bdfgklmn" for b in "aeiou" for c in ("rt", "ns", "lk", "m", "st", "v", "pp", "x", "nd", "sh")]
+    texts = []
+    for n in (4, 8, 12, 20, 40) * 4:  # the last word of a phrase is another, so that no phrase is left
+        seed = " ".join(rng.choice(words, n, replace=False)) + " the page you are looking for does not exist"
+        texts += [seed, seed.rsplit(" ", 1)[0] + " answer"]
+    assert found(spark, [*texts, NEWS]) == set(range(len(texts)))
+    assert found(spark, [*texts[1::2], NEWS]) == set()
+
+
+def test_prefix_keys_meet_wherever_sets_are_alike():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        more = int(rng.integers(0, n // 4 + 1))
+        common, a, b = (rng.integers(0, 2**63, k, dtype=np.int64) for k in (n, more, n // 4 - more))
+        row, key = R.prefix_keys(pa.array([np.sort(np.r_[common, a]), np.sort(np.r_[common, b])], pa.list_(pa.int64())))
+        assert set(key[row == 0]) & set(key[row == 1])
+
+
+def test_labels_spread_from_fields(spark):
+    field = "[insert a short description of this article here]"
+    assert found(spark, [field, field.strip("[]"), "{{photo}}", "Photo.", NEWS]) == {0, 1, 2}
+    assert found(spark, [field.strip("[]"), NEWS]) == set()
