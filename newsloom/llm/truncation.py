@@ -46,6 +46,9 @@ TAGS = r"(?:\s+(?:\([^()]{2,20}\)|\[\p{L}[^\[\]]{2,20}\]|\|\s*\S.{1,20}|[–—-
 BROKEN = r"(?:�|&#?\w{0,7}|<[a-zA-Z/][^<>]{0,60}|<)$"
 #: Fixed value: what stands between the words of a text.
 BETWEEN = "\t\n\r\u00a0\u2007\u2009\u202f\u3000.,;:!?।|()[]{}\"“”‘’«»…–—"
+#: Fixed value: what a text whose canonical form may differ from itself has: any character beyond plain text of Latin or
+#: Devanagari, markup, a bar, or a vowel or a nukta that may join the letter before it.
+ODD = r"[^\t\n\r -;=-{}~\u00a0-\u00ac\u00ae-\u017f\u0900-\u093b\u093d-\u0957\u0960-\u097f\u200c\u200d\u2010-\u2027]|(?<!\u094d)[\u200c\u200d]|[\u00a0\u017f\u0149\u0132\u0133\u013f\u0140]|[\u0904-\u0914\u093e-\u094c][\u093e-\u094c]|र्इ"
 UNSEEN = r"[\s ​-‏⁠-⁤﻿­]+$"
 
 
@@ -120,6 +123,23 @@ def _context_counts(titles: DataFrame, common: np.ndarray) -> DataFrame:
     return A.over(titles.select("t"), rows, "ctx long, n long, ends long").groupBy("ctx").agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
 
 
+def _one_form(titles: DataFrame) -> DataFrame:
+    """The headlines with ``t`` and ``summary`` in one form and without markup; only those that may differ from it are brought to it."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in A.slices(batch, "t", "summary"):
+                out = {n: part.column(n) for n in part.schema.names}
+                for c in ("t", "summary"):
+                    cp, off, _ = A.canonical(*A.explode(part.column(c)))
+                    out[c] = A.implode(A.blank_tags(cp, off), off)
+                yield pa.record_batch(list(out.values()), names=list(out))
+
+    named = titles.select("id", "source_id", "title", "t", F.coalesce("summary", F.lit("")).alias("summary"))
+    odd = F.col("t").rlike(ODD) | F.col("summary").rlike(ODD)
+    return named.where(~odd).unionByName(A.over(named.where(odd), rows, "id string, source_id string, title string, t string, summary string"))
+
+
 def _last_words(titles: DataFrame, common: np.ndarray) -> DataFrame:
     """(id, source_id, title, ctx, begins, whole, name): the last contexts, longest first, and whether the last word begins a word of the summary, is one, is a name."""
 
@@ -140,10 +160,11 @@ def _last_words(titles: DataFrame, common: np.ndarray) -> DataFrame:
                 yield pa.record_batch([*(part.column(c) for c in ("id", "source_id", "title", "begins", "whole")), lists, pa.array(named)], names=["id", "source_id", "title", "begins", "whole", "ctx", "name"])
 
     word = F.regexp_replace(F.substring_index(F.regexp_replace(F.lower(_bare(F.col("t"))), r"[\s\p{Z}]+", " "), " ", -1), r"^[\p{P}\p{S}]+|[\p{P}\p{S}]+$", "")
-    text = F.concat(F.lit(" "), F.translate(F.lower(F.coalesce("summary", F.lit(""))), BETWEEN, " " * len(BETWEEN)), F.lit(" "))
+    word = F.trim(F.translate(word, BETWEEN, " " * len(BETWEEN)))  # split as the summary is
+    text = F.concat(F.lit(" "), F.translate(F.lower(F.col("summary")), BETWEEN, " " * len(BETWEEN)), F.lit(" "))
     whole = F.contains(text, F.concat(F.lit(" "), word, F.lit(" ")))
     begins = F.contains(text, F.concat(F.lit(" "), word))
-    asked = titles.select("id", "source_id", "title", "t", ((word != "") & begins & ~whole).alias("begins"), ((word != "") & whole).alias("whole"))
+    asked = _one_form(titles).select("id", "source_id", "title", "t", ((word != "") & begins & ~whole).alias("begins"), ((word != "") & whole).alias("whole"))
     return A.over(asked, rows, "id string, source_id string, title string, begins boolean, whole boolean, ctx array<long>, name boolean")
 
 

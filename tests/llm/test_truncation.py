@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from newsloom.llm import truncation as T
 
 SCHEMA = "id string, source_id string, title string, summary string, summary_translated string, cut boolean"
@@ -71,3 +73,15 @@ def test_residue_is_left_out(spark):
     cut = spark.createDataFrame([("a", "summary"), ("a", "title"), ("b", "summary")], "article_id string, field string")
     residue = spark.createDataFrame([("articles", "a"), ("raw_stories", "b")], "table_name string, row_key string")
     assert {(r.article_id, r.field) for r in T.without_residue(cut, residue).collect()} == {("a", "title"), ("b", "summary")}
+
+
+def test_last_words_are_compared_in_one_form(spark):
+    rows = [
+        ("soft", "s", "Rain falls near Nalp\u00adadhunubma", "The hills of Nalpadhunubma are wet.", None, None), ("wide", "s", "Rain falls near \uff34ithamsa", "The hills of Tithamsa are wet.", None, None), ("alike", "s", "Rain falls near Tithamsa", "The hills of Tith\u0430msa are wet.", None, None),
+        ("tag", "s", "Rain falls near Tithamsa", "The hills of Titha<b>msa</b> <a title=\"of Tithamsa now\">are</a> wet.", None, None), ("inner", "s", "Rain falls near Lo\u2019mar", "The hills of Lo\u2019mar are wet.", None, None), ("dash", "s", "Rain falls near Lo\u2014mar", "The hills of Lo\u2014mar are wet.", None, None),
+        ("dot", "s", "Rain falls in the u.s.", "The hills of the U.S. are wet.", None, None), ("begun", "s", "Rain falls near Tith", "The hills of \uff34ithamsa are wet.", None, None), ("joined", "s", "वर्षा \u0930\u094d\u200dया", "त्यो \u0930\u094d\u200dया हो।", None, None), ("none", "s", "Rain falls near Tithamsa", None, None, None),
+    ]
+    titles = spark.createDataFrame(rows, SCHEMA).selectExpr("id", "source_id", "title", "title AS t", "summary")
+    got = {r.id: (r.whole, r.begins) for r in T._last_words(titles, np.empty(0, np.uint64)).collect()}
+    whole = {"soft", "wide", "alike", "inner", "dash", "dot", "joined"}
+    assert got == {i: (i in whole, i == "begun") for i in got} and len(got) == len(rows)
