@@ -49,6 +49,8 @@ BETWEEN = "\t\n\r\u00a0\u2007\u2009\u202f\u3000.,;:!?।|()[]{}\"“”‘’«
 #: Fixed value: what a text whose canonical form may differ from itself has: any character beyond plain text of Latin or
 #: Devanagari, markup, a bar, or a vowel or a nukta that may join the letter before it.
 ODD = r"[^\t\n\r -;=-{}~\u00a0-\u00ac\u00ae-\u017f\u0900-\u093b\u093d-\u0957\u0960-\u097f\u200c\u200d\u2010-\u2027]|(?<!\u094d)[\u200c\u200d]|[\u00a0\u017f\u0149\u0132\u0133\u013f\u0140]|[\u0904-\u0914\u093e-\u094c][\u093e-\u094c]|र्इ"
+#: Characters of a running text's end that are looked at.
+TAIL = 400
 UNSEEN = r"[\s ​-‏⁠-⁤﻿­]+$"
 
 
@@ -57,14 +59,16 @@ def _bare(text: Column) -> Column:
 
 
 def _running(text: Column) -> Column:
-    """Whether a running text lacks a proper end; only its last characters tell."""
-    t = F.right(text, F.lit(400))
-    t = _bare(F.regexp_replace(F.regexp_replace(t, r"</[a-zA-Z]+>", " "), "<[a-zA-Z][^<>]*>", " "))
+    """Whether a running text lacks a proper end; only the last characters without markup and padding tell."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"</[a-zA-Z]+>", " "), "<[a-zA-Z][^<>]*>", " ")
+    plain = F.when(F.contains(text, F.lit("<")), plain).otherwise(text)
+    tail = _bare(F.right(plain, F.lit(TAIL)))
+    t = F.when((F.length(tail) < TAIL) & (F.length(plain) > TAIL), F.right(_bare(plain), F.lit(TAIL))).otherwise(tail)
     noted = F.regexp_extract(t, "^(?s)(.*?)" + NOTES, 1)  # a note counts only after a whole sentence or after a cut
     rest = F.when(noted != "", noted).otherwise(t)
     more = _bare(F.regexp_replace(rest, MORE, ""))
     more = F.when(more != "", more).otherwise(rest)
-    return F.when(t.rlike(ENDED) & ~t.rlike(MORE), False).otherwise(~more.rlike(ENDED) | more.rlike(BROKEN))
+    return F.when(t.rlike(ENDED) & ~t.rlike(MORE) & ~t.rlike(r"[\])]$"), False).otherwise(~more.rlike(ENDED) | more.rlike(BROKEN))
 
 
 def _headline_words(part: pa.RecordBatch, column: str) -> A.Words:

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from newsloom.llm import truncation as T
 
@@ -85,3 +86,12 @@ def test_last_words_are_compared_in_one_form(spark):
     got = {r.id: (r.whole, r.begins) for r in T._last_words(titles, np.empty(0, np.uint64)).collect()}
     whole = {"soft", "wide", "alike", "inner", "dash", "dot", "joined"}
     assert got == {i: (i in whole, i == "begun") for i in got} and len(got) == len(rows)
+
+
+def test_ends_behind_long_tags_padding_and_notes(spark):
+    link = '<img src="https://host.example/' + "x" * 600 + '">'
+    whole = ["The council met on Friday. " + link, "The council met on Friday." + "\u00a0 " * 400, "The council met on Friday. (With agency input.)", "The council met on Friday. [Edited for length.]", "He spoke (and then left.) They met."]
+    cut = ["The council appr (With agency input.)", "The council appr [Edited for length.]", "The council appr " + link, "The council appr" + "\u200b " * 400]
+    rows = [(i, x) for i, x in enumerate(whole + cut)]
+    got = {r.i for r in spark.createDataFrame(rows, "i int, x string").where(T._running(F.col("x"))).collect()}
+    assert got == set(range(len(whole), len(rows)))
