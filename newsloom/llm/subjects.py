@@ -197,7 +197,7 @@ def _corpus_counts(documents: DataFrame, model: Model) -> np.ndarray:
 
 def train(examples: DataFrame, documents: DataFrame, rounds: int = ROUNDS) -> Model:
     """The classifier, from labelled examples (subject, text) and the texts of all documents; null texts and labels are left out."""
-    rows = examples.where("subject IS NOT NULL AND length(text) > 0").select("subject", "text").orderBy("subject", "text").limit(MOST_EXAMPLES).toArrow()
+    rows = examples.where("subject IS NOT NULL AND length(text) > 0").select("subject", "text").orderBy(F.xxhash64("text"), "subject", "text").limit(MOST_EXAMPLES).orderBy("subject", "text").toArrow()
     labels = rows["subject"].to_pylist()
     subjects = sorted(set(labels))
     if len(subjects) < 2:

@@ -120,3 +120,12 @@ def test_odd_documents(spark):
     assert S.document_subjects(spark.createDataFrame([], "doc_id long, text string"), ex).count() == 0
     with pytest.raises(ValueError, match="two subjects"):
         S.train(ex.where("subject = 'law'"), spark.createDataFrame([], "doc_id long, text string"))
+
+
+def test_a_bounded_sample_has_all_subjects(spark, monkeypatch):
+    from newsloom.llm import subjects
+
+    monkeypatch.setattr(subjects, "MOST_EXAMPLES", 40)
+    rows = [(s, f"The {w} of place {i} was {w} again.") for s, w in (("business", "market"), ("world", "treaty")) for i in range(60)]
+    model = subjects.train(spark.createDataFrame(rows, "subject string, text string"), spark.createDataFrame([], "doc_id long, text string"))
+    assert model.subjects == ["business", "world"]
