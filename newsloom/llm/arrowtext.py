@@ -131,7 +131,7 @@ def _tables() -> dict:
     exp: dict[int, list[int]] = {}
     ccc = np.zeros(_N, np.uint8)
     pairs: dict[int, int] = {}
-    for o in range(0x30000):
+    for o in (*range(0x30000), *range(0xE0000, 0xE01F0)):  # and the unseen ones far above
         c = chr(o)
         cat = unicodedata.category(c)
         if cat in ("Cn", "Co", "Cs"):
@@ -159,7 +159,7 @@ def _tables() -> dict:
         tag = d.split(">")[0][1:] if d.startswith("<") else ""
         if cat == "Zs":
             to[o] = 0x20
-        elif cat == "Cf" or (cat == "Cc" and o not in (9, 10, 13)) or 0xFE00 <= o <= 0xFE0F or o in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0):
+        elif cat == "Cf" or (cat == "Cc" and o not in (9, 10, 13)) or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF or o in (0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0):
             size[o] = 0  # cannot be seen
         elif tag in ("wide", "narrow", "font") or (tag in ("compat", "initial", "medial", "final", "isolated") and all(unicodedata.category(x)[0] == "L" for x in unicodedata.normalize("NFKC", c))):
             exp[o] = [ord(x) for x in unicodedata.normalize("NFKC", c)]

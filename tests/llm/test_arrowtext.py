@@ -103,3 +103,10 @@ def test_slices_keep_every_row():
     parts = list(A.slices(b, "t"))
     assert sum(p.num_rows for p in parts) == 7 and len(parts) > 1
     assert list(A.slices(b.slice(0, 0), "t")) == []
+
+
+def test_unseen_characters_of_the_last_planes():
+    from newsloom.llm import arrowtext
+
+    cp, off, changed = arrowtext.canonical(*arrowtext.explode(pa.array(["ne\U000e0001ws", "ne\U000e0041ws", "ne\U000e01efws", "news"])))
+    assert arrowtext.implode(cp, off).to_pylist() == ["news"] * 4 and changed.tolist() == [True, True, True, False]
