@@ -191,6 +191,9 @@ def pack(lengths: DataFrame, capacity: int, targets: dict[str | None, float] | N
         large = F.broadcast(each.orderBy(F.col("tokens").desc(), "source").limit(most_sources).select(F.col("source").alias("named"), F.lit(True).alias("large")))
         items = items.join(large, F.col("source").eqNullSafe(F.col("named")), "left").select("doc_id", F.when(F.col("large"), F.col("source")).otherwise(OTHERS).alias("source"), "tokens")
         each = items.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+        if targets:  # the queue of the others is owed what they are owed together
+            own = {r["named"] for r in large.collect()}
+            targets = {s: x for s, x in targets.items() if s in own and s != OTHERS} | {OTHERS: sum(x for s, x in targets.items() if s not in own or s == OTHERS)}
     totals = {r["source"]: (r["tokens"], r["n"]) for r in each.collect()}  # one row a queue
     sources = sorted(totals, key=lambda s: (s is None, s or ""))
     weight = np.array([(targets or {}).get(s, 0.0) if targets else totals[s][0] for s in sources], float)

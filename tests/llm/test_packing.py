@@ -76,3 +76,14 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "s", "hello world", 1), (2, None, "", 1), (3, "s", None, 1), (4, "s", "<|endoftext|> नेपाल", 1)], "doc_id long, source string, text string, tokens int")
     got = {r.doc_id: r.tokens for r in K.token_counts(df, ranks).collect()}
     assert set(got) == {1, 4} and got[1] in (2, 3) and got[4] > 3
+
+
+def test_pooled_sources_keep_their_targets_together(spark, monkeypatch):
+    from newsloom.llm import packing
+
+    shares = []
+    real = packing._apply
+    monkeypatch.setattr(packing, "_apply", lambda left, run, schema: shares.append(run.__closure__[[*run.__code__.co_freevars].index("share")].cell_contents.tolist()) or real(left, run, schema))
+    rows = [(i, s, n) for i, (s, n) in enumerate([("a", 50), ("a", 50), ("b", 20), ("c", 10)])]
+    packing.pack(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), 100, targets={"a": 0.5, "b": 0.3, "c": 0.2}, most_sources=1)
+    assert shares[0] == [0.5, 0.5]
