@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,9 +13,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or in tests, where it is unset, a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or, where that is unset and all tasks run in this process, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="newsloom-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -34,7 +37,17 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._newsloom_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes the tables of ``cut`` that nothing will read any more; other tables are left alone."""
+    for t in tables:
+        path = getattr(t, "_newsloom_path", None)
+        if path:
+            delete(t.sparkSession, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
