@@ -1,5 +1,5 @@
 """Intermediate tables, as the core has them."""
 
-from ..lineage import cut, delete, new_path, shared_dir
+from ..lineage import cut, delete, drop, new_path, shared_dir
 
-__all__ = ["cut", "delete", "new_path", "shared_dir"]
+__all__ = ["cut", "delete", "drop", "new_path", "shared_dir"]
