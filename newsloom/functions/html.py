@@ -2,14 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from ..ship import ship
 from .binding import let
 from .text import WIDGET, is_boilerplate, is_navigation, space_after_danda, squeeze, trim
 
@@ -17,54 +12,52 @@ from .text import WIDGET, is_boilerplate, is_navigation, space_after_danda, sque
 GLUE = "\x1e"
 
 #: Entities by name, with what each stands for.
-ENTITIES = dict(
-    x.split(":", 1)
-    for x in (
-        "amp:& lt:< gt:> quot:\" apos:' shy: zwj:‍ zwnj:‌ lrm:‎ rlm:‏ wj:⁠ ndash:- hellip:… lsquo:' rsquo:' sbquo:' ldquo:\" rdquo:\" bdquo:\" laquo:« raquo:» bull:• middot:· deg:° copy:© reg:® trade:™ "
-        "euro:€ pound:£ yen:¥ cent:¢ sect:§ para:¶ dagger:† permil:‰ prime:′ Prime:″ times:× divide:÷ minus:− plusmn:± frac12:½ frac14:¼ frac34:¾ hearts:♥ rarr:→ larr:← harr:↔ "
-        "eacute:é egrave:è agrave:à ccedil:ç uuml:ü ouml:ö auml:ä szlig:ß ntilde:ñ aacute:á iacute:í oacute:ó uacute:ú"
-    ).split(" ")
-) | {"nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ", "mdash": " - "}
-_ENTITY = re.compile(r"&(?:#(\d{1,8})|#[xX]([0-9a-fA-F]{1,6})|([a-zA-Z][a-zA-Z0-9]*));")
-
-
-def _entity(m: re.Match) -> str:
-    if m[3]:
-        return ENTITIES.get(m[3], m[0])
-    code = int(m[1]) if m[1] else int(m[2], 16)
-    if not 0 < code <= 0x10FFFF or 0xD800 <= code <= 0xDFFF or (code < 32 and code not in (9, 10)):
-        return " "
-    return chr(code)
-
-
-@F.pandas_udf(StringType())
-def _decode(s: pd.Series) -> pd.Series:
-    once = s.str.replace(_ENTITY, _entity, regex=True)
-    return once.str.replace(_ENTITY, _entity, regex=True)
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ", "shy": "",
+    "zwj": "\u200d", "zwnj": "\u200c", "lrm": "\u200e", "rlm": "\u200f", "wj": "\u2060", "ndash": "-", "mdash": " - ", "hellip": "…",
+    "lsquo": "'", "rsquo": "'", "sbquo": "'", "ldquo": '"', "rdquo": '"', "bdquo": '"', "laquo": "«", "raquo": "»", "bull": "•", "middot": "·",
+    "deg": "°", "copy": "©", "reg": "®", "trade": "™", "euro": "€", "pound": "£", "yen": "¥", "cent": "¢", "sect": "§", "para": "¶",
+    "dagger": "†", "permil": "‰", "prime": "′", "Prime": "″", "times": "×", "divide": "÷", "minus": "−", "plusmn": "±",
+    "frac12": "½", "frac14": "¼", "frac34": "¾", "hearts": "♥", "rarr": "→", "larr": "←", "harr": "↔",
+    "eacute": "é", "egrave": "è", "agrave": "à", "ccedil": "ç", "uuml": "ü", "ouml": "ö", "auml": "ä", "szlig": "ß", "ntilde": "ñ",
+    "aacute": "á", "iacute": "í", "oacute": "ó", "uacute": "ú",
+}
+#: Fixed value: an entity, by number or by name.
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
+
+def _character(code: Column) -> Column:
+    """The character of a number, or a space if it is none that can be shown."""
+    bad = (code <= 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF) | ((code < 32) & (code != 9) & (code != 10))
+    return F.when(bad, " ").otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+
+
+def _decoded(piece: Column) -> Column:
+    body = F.substring(piece, F.lit(2), F.length(piece) - 2)
+    number = F.when(F.substring(body, 2, 1).isin("x", "X"), F.conv(F.substring(body, 3, 6), 16, 10)).otherwise(F.substring(body, 2, 7)).try_cast("long")
+    names = F.create_map(*[F.lit(x) for kv in ENTITIES.items() for x in kv])
+    named = F.coalesce(F.try_element_at(names, body), F.try_element_at(names, F.lower(body)), piece)
+    return F.when(~piece.startswith("&") | (F.length(piece) < 3), piece).when(piece.startswith("&#"), _character(number)).otherwise(named)
 
 
 def decode_entities(c: Column) -> Column:
     """Entities by name and by number become characters, twice over; unknown names stay, numbers of no character become spaces."""
-    ship(SparkSession.active())
-    return F.when(c.contains("&"), _decode(c)).otherwise(c)
 
+    def once(t: Column) -> Column:
+        pieces = F.regexp_extract_all(t, F.lit(f"({ENTITY}|[^&]+|&)"), F.lit(1))
+        return F.when(t.rlike(ENTITY), F.array_join(F.transform(pieces, _decoded), "")).otherwise(t)
 
-def decode_common(c: Column) -> Column:
-    """The five entities of XML and the no-break space, in the JVM alone."""
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return c
+    return F.when(c.contains("&"), let(once(c), once)).otherwise(c)
 
 
 def strip_tags(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<!--.*?-->", "")
-    c = F.regexp_replace(c, r"(?i)<br\s*/?>|</(?:p|div|li|h[1-6])>", " ")
-    return F.regexp_replace(c, r"<[^>]+>", "")
+    """Tags, styles, scripts and comments become a space each, so that no words grow together."""
+    return F.regexp_replace(F.regexp_replace(c, r"(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<!--.*?-->", " "), r"<[^>]+>", " ")
 
 
-def to_text(c: Column, decode=decode_entities) -> Column:
+def to_text(c: Column) -> Column:
     """What a reader sees of markup, on one line."""
-    return squeeze(decode(strip_tags(c)))
+    return squeeze(decode_entities(strip_tags(c)))
 
 
 def clean_for_display(c: Column) -> Column:
@@ -128,9 +121,9 @@ def running_text(paragraphs: Column, least: int = 120, most: int = 6000) -> Colu
     return trim(F.array_join(taken["ps"], " "))
 
 
-def paragraph_text(html: Column, decode=decode_entities) -> Column:
+def paragraph_text(html: Column) -> Column:
     """The page's paragraphs of running text."""
-    return running_text(F.split(decode(F.array_join(raw_paragraphs(html), GLUE)), GLUE))
+    return running_text(F.split(decode_entities(F.array_join(raw_paragraphs(html), GLUE)), GLUE))
 
 
 def best_of(ladder: Column, paragraphs: Column, most: int = 6000) -> Column:
@@ -169,7 +162,7 @@ IMAGE_KEYS = ["property:og:image", "property:og:image:url", "name:twitter:image"
 def parse_articles(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """The pages with text, via and image_url in place of their HTML; pages with neither text nor picture are left out.
 
-    All that has to be decoded of a page goes to Python in one string, twice, as the contents of meta
+    All that has to be decoded of a page is decoded as one string, twice, as the contents of meta
     tags may hold markup that is escaped itself.
     """
     keys = [k for _, k in TEXT_KEYS] + IMAGE_KEYS

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import url as ul
 from ..functions.classify import classify_topic, is_breaking
-from ..functions.html import decode_common, to_text
+from ..functions.html import to_text
 
 #: Days of the ranges a reader can ask for, hours for which a marked story is breaking, an outlet's credibility if unset.
 RANGES = {"day": 1, "week": 7, "month": 30}
@@ -36,7 +36,7 @@ def valid_stories(raw: DataFrame, sources: DataFrame) -> DataFrame:
     return raw.where(good).join(s, "source_id").where(kept).drop("url_prefix")
 
 
-def normalize(raw: DataFrame, sources: DataFrame, now_s: Column | None = None, decode=decode_common) -> DataFrame:
+def normalize(raw: DataFrame, sources: DataFrame, now_s: Column | None = None) -> DataFrame:
     """Feed records as stories; ``now_s`` is the time that stands for missing and future dates, by default that of the fetch.
 
     Every record of a known outlet has one row; null titles and descriptions count as empty.
@@ -45,7 +45,7 @@ def normalize(raw: DataFrame, sources: DataFrame, now_s: Column | None = None, d
     t = raw.join(s, "source_id")
     now = now_s if now_s is not None else F.unix_timestamp(F.col("fetched_at").cast("timestamp"))
     at = F.least(F.coalesce(ul.parse_date(F.col("pub_date")), ul.date_in_url(F.col("url")), now), now)
-    t = t.withColumn("now", now).withColumn("published_s", at).withColumn("clean_title", to_text(F.coalesce("title", F.lit("")), decode)).withColumn("body", to_text(F.coalesce("description", F.lit("")), decode))
+    t = t.withColumn("now", now).withColumn("published_s", at).withColumn("clean_title", to_text(F.coalesce("title", F.lit("")))).withColumn("body", to_text(F.coalesce("description", F.lit(""))))
     t = t.withColumn("summary", tx.standfirst(F.col("clean_title"), F.col("body")))
     fresh = (F.col("now") - F.col("published_s") < BREAKING_H * 3600) & is_breaking(F.col("clean_title"))
     topic = F.when(fresh, "breaking").otherwise(classify_topic(F.col("clean_title"), F.col("summary"), F.col("categories")))

@@ -248,12 +248,12 @@ def paragraph_split(s, d):
 
 @query
 def html_to_text(s, d):
-    return spread(table(s, d, "raw_stories")).select("raw_id", html.to_text(F.coalesce("description", F.lit("")), html.decode_common).alias("text"))
+    return spread(table(s, d, "raw_stories")).select("raw_id", html.to_text(F.coalesce("description", F.lit(""))).alias("text"))
 
 
 @query
 def standfirsts(s, d):
-    body = html.to_text(F.coalesce("description", F.lit("")), html.decode_common)
+    body = html.to_text(F.coalesce("description", F.lit("")))
     return spread(table(s, d, "raw_stories")).select("raw_id", tx.standfirst(F.col("title"), body).alias("standfirst"))
 
 
@@ -265,7 +265,7 @@ def strip_boilerplate(s, d):
 
 @query
 def title_echo(s, d):
-    return spread(table(s, d, "raw_stories")).select("raw_id", tx.echoes_title(F.col("title"), html.to_text(F.coalesce("description", F.lit("")), html.decode_common)).alias("echo"))
+    return spread(table(s, d, "raw_stories")).select("raw_id", tx.echoes_title(F.col("title"), html.to_text(F.coalesce("description", F.lit("")))).alias("echo"))
 
 
 @query
@@ -732,7 +732,7 @@ def page_meta(s, d):
 
 @query
 def page_paragraphs(s, d):
-    return _pages(s, d).select("id", html.paragraph_text(F.col("html"), decode=html.decode_common).alias("text"))
+    return _pages(s, d).select("id", html.paragraph_text(F.col("html")).alias("text"))
 
 
 @query

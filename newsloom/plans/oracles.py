@@ -5,6 +5,8 @@ RE2 has no look-around and its \\b is ASCII; patterns are written for it.
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from ..functions.classify import CATEGORY_TOPIC, DISPOSABLE, TOPIC_WORDS, topic_patterns
 from ..functions.text import PAGE_BOILERPLATE
 from ..functions.url import TRACKING
@@ -45,20 +47,36 @@ DIGEST = f"""(SELECT *, CASE WHEN bucket = 'national' THEN 'national' ELSE 'inte
 # ------------------------------------------------------------------ text helpers
 
 
-def decode_common(c: str) -> str:
-    for a, b in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")):
-        c = f"replace({c}, {q(a)}, {q(b)})"
-    return c
+#: Entities that are read as the Unicode character of their name, and those that are read as something plainer.
+NAMED = (
+    "amp lt gt quot zwj zwnj lrm rlm hellip laquo raquo bull middot deg copy reg trade euro pound yen cent sect para dagger permil prime Prime "
+    "times divide minus plusmn frac12 frac14 frac34 hearts rarr larr harr eacute egrave agrave ccedil uuml ouml auml szlig ntilde aacute iacute oacute uacute"
+).split()
+PLAIN = {"apos": "'", "nbsp": " ", "ensp": " ", "emsp": " ", "thinsp": " ", "shy": "", "wj": chr(0x2060), "ndash": "-", "mdash": " - ", "lsquo": "'", "rsquo": "'", "sbquo": "'", "ldquo": '"', "rdquo": '"', "bdquo": '"'}
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
+
+def decode_once(c: str) -> str:
+    names = "MAP {" + ", ".join(f"{q(k)}: {q(v)}" for k, v in ({n: html5[n + ";"] for n in NAMED} | PLAIN).items()) + "}"
+    code = "CAST(CASE WHEN lower(p[3]) = 'x' THEN '0x' || p[4:-2] ELSE p[3:-2] END AS BIGINT)"
+    shown = f"CASE WHEN {code} <= 0 OR {code} > 1114111 OR {code} BETWEEN 55296 AND 57343 OR ({code} < 32 AND {code} NOT IN (9, 10)) THEN ' ' ELSE chr(CAST({code} AS INT)) END"
+    piece = f"CASE WHEN length(p) < 3 OR p[1] <> '&' THEN p WHEN p[2] = '#' THEN {shown} ELSE coalesce(map_extract({names}, p[2:-2])[1], map_extract({names}, lower(p[2:-2]))[1], p) END"
+    return f"array_to_string(list_transform(regexp_extract_all({c}, '{ENTITY}|[^&]+|&'), lambda p: {piece}), '')"
+
+
+def decode(c: str) -> str:
+    """Entities read twice; texts without an ampersand as they are."""
+    return f"(CASE WHEN contains({c}, '&') THEN {decode_once(decode_once(c))} ELSE {c} END)"
 
 
 def strip_tags(c: str) -> str:
-    c = f"regexp_replace({c}, '(?is)<style[^>]*>.*?</style>|<script[^>]*>.*?</script>|<!--.*?-->', '', 'g')"
-    c = f"regexp_replace({c}, '(?i)<br\\s*/?>|</(?:p|div|li|h[1-6])>', ' ', 'g')"
-    return f"regexp_replace({c}, '<[^>]+>', '', 'g')"
+    for p in ("(?is)<style[^>]*>.*?</style>", "(?is)<script[^>]*>.*?</script>", "(?s)<!--.*?-->", r"(?i)<br\s*/?>", "(?i)</(?:p|div|li|h[1-6])>", "<[^>]+>"):
+        c = f"regexp_replace({c}, '{p}', ' ', 'g')"
+    return c
 
 
 def to_text(c: str) -> str:
-    return squeeze(decode_common(strip_tags(f"coalesce({c}, '')")))
+    return squeeze(decode(strip_tags(f"coalesce({c}, '')")))
 
 
 def truncate(c: str, n: int) -> str:

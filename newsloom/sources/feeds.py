@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.html import decode_common, parse_articles, to_text
+from ..functions.html import parse_articles, to_text
 
 _LINKS = "array<struct<_url: string, _type: string>>"
 #: Elements that are read of an item and of an entry.
@@ -40,29 +40,29 @@ def image_of() -> Column:
     return F.coalesce(http("media:content"), http("media:thumbnail"), enclosed, F.when(img != "", img))
 
 
-def best_description(decode=decode_common) -> Column:
+def best_description() -> Column:
     """The longest of the description fields once markup is gone, the first of equals, cut to length."""
-    cleaned = [to_text(_text(c), decode) for c in DESCRIPTIONS]
+    cleaned = [to_text(_text(c)) for c in DESCRIPTIONS]
     sized = F.array(*[F.struct(F.length(t).alias("n"), t.alias("t")) for t in cleaned])
     best = F.aggregate(sized, F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), lambda a, x: F.when(x["n"] > a["n"], x).otherwise(a))
     return F.substring(best["t"], 1, DESCRIPTION_CHARS)
 
 
-def _records(df: DataFrame, url: Column, date: Column, guid: Column, decode) -> DataFrame:
-    out = df.select(to_text(_text("title"), decode).alias("title"), url.alias("url"), best_description(decode).alias("description"), date.alias("pub_date"), image_of().alias("image_url"), guid.alias("guid"), F.col("_metadata.file_path").alias("file"))
+def _records(df: DataFrame, url: Column, date: Column, guid: Column) -> DataFrame:
+    out = df.select(to_text(_text("title")).alias("title"), url.alias("url"), best_description().alias("description"), date.alias("pub_date"), image_of().alias("image_url"), guid.alias("guid"), F.col("_metadata.file_path").alias("file"))
     out = out.withColumn("guid", _first_of(F.coalesce("guid", F.lit("")), F.coalesce("url", F.lit("")), F.col("title")))
     return out.where((F.length("title") > 2) & (F.length("url") > 5))
 
 
-def read_feeds(spark: SparkSession, path: str, decode=decode_common) -> DataFrame:
+def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     """(title, url, description, pub_date, image_url, guid, file) of all feed files under a path, whatever their kind.
 
     A file that can't be parsed gives no rows. Records without a headline of 3 characters or an
     address of 6 are left out.
     """
     read = lambda tag, schema: spark.read.format("xml").option("rowTag", tag).option("mode", "DROPMALFORMED").schema(schema).load(path)
-    items = _records(read("item", ITEM), _first_of(_text("link"), _text("guid"), _text("_rdf:about")), _first_of(_text("pubDate"), _text("dc:date")), _text("guid"), decode)
-    entries = _records(read("entry", ENTRY), F.trim(atom_link(F.col("link"))), _first_of(_text("published"), _text("updated")), _text("id"), decode)
+    items = _records(read("item", ITEM), _first_of(_text("link"), _text("guid"), _text("_rdf:about")), _first_of(_text("pubDate"), _text("dc:date")), _text("guid"))
+    entries = _records(read("entry", ENTRY), F.trim(atom_link(F.col("link"))), _first_of(_text("published"), _text("updated")), _text("id"))
     return items.unionByName(entries)
 
 

@@ -67,6 +67,28 @@ def test_relative_time(spark, minutes, lang, want):
     assert one(spark, tx.relative_time(F.lit(1_000_000 - minutes * 60), F.lit(lang), F.lit(1_000_000))) == want
 
 
+def test_markup_never_welds_words(spark):
+    text = "a<b>x</b>c<td>one</td><td>two</td>&nbsp;three<!-- no --><style>p {}</style>four<script>if (a < b) {}</script>five<br/>six &lt;seven&gt; Q&rsquo;s &#2344;&#X947;"
+    assert one(spark, html.to_text(F.col("a")), a=text) == "a x c one two three four five six <seven> Q's ने"
+    import duckdb
+
+    from newsloom.plans.oracles import to_text
+
+    assert duckdb.execute(f"SELECT {to_text('a')} FROM (SELECT ? AS a)", [text]).fetchone()[0] == "a x c one two three four five six <seven> Q's ने"
+
+
+def test_entities_by_rule(spark):
+    cases = {"": "", "&": "&", "&&amp;&": "&&&", "&AMP;&Hellip;&PRIME;": "&…′", "&Prime;": "″", "&T;&A;Q&A;": "&T;&A;Q&A;", "&#0;&#1114112;&#9999999;&#31;": "    ", "&#10;&#9;x": "\n\tx", "&#128512;": "😀", "&amp;#2342;": "द", "&amp;amp;amp;": "&amp;", "पद्&zwj;मा": "पद्\u200dमा", "a&shy;b": "ab", "&#12345678;": "&#12345678;"}
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "a string").select("a", html.decode_entities(F.col("a")).alias("b"))
+    assert {r.a: r.b for r in df.collect()} == cases | {None: None}
+    import duckdb
+
+    from newsloom.plans.oracles import decode
+
+    for k, v in cases.items():
+        assert duckdb.execute(f"SELECT {decode('a')} FROM (SELECT ? AS a)", [k]).fetchone()[0] == v, k
+
+
 def test_entities_decode_twice_and_keep_unknown_names(spark):
     assert one(spark, html.decode_entities(F.col("a")), a="AT&T &amp;amp; &#2344;&#x947; &nope; &#55296;x") == "AT&T & ने &nope;  x"
 
