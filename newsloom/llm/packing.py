@@ -5,7 +5,9 @@ corpus is dealt into partitions of bounded size, each partition fills window aft
 containers. Deficit round-robin over the source queues chooses what a window takes, so that sources
 come in their target proportions; best fit places it, and gaps are topped up with the largest item
 that fits, on credit of its source. What a source is owed or owes goes on to the next window, and
-with what is left over to the next level of partitions, until one partition remains.
+with what is left over to the next level of partitions, until one partition remains. A partition
+leaves over less than a window of documents and a bounded number of containers, the emptiest; so a
+task of any level, the last included, has a bounded number of tokens, whatever the lengths are.
 """
 
 from __future__ import annotations
@@ -29,11 +31,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 #: Containers of a window, documents of a partition, partitions that meet at the next level.
 WINDOW, PART, FAN = 64, 50_000, 16
-#: Containers that are emptier than this at the end of a partition are taken apart for the next level.
-FULL = 0.995
-#: Sources with a queue of their own; if there are more, the smaller ones share one queue.
-MOST_SOURCES = 10_000
-OTHERS = "(others)"
+#: Containers that are emptier than this at the end of a partition are taken apart for the next level, but no more than CARRY of them.
+FULL, CARRY = 0.995, 2 * WINDOW
+#: Sources whose shares a join may broadcast; more are joined with a shuffle.
+SMALL = 100_000
 
 
 def tokenizer_file(path: str | None = None) -> bytes:
@@ -67,8 +68,8 @@ def token_counts(documents: DataFrame, ranks: bytes) -> DataFrame:
 def fill(size: np.ndarray, source: np.ndarray, share: np.ndarray, owed: np.ndarray, capacity: int, window: int, last: bool) -> tuple[np.ndarray, np.ndarray, int]:
     """Which container each item goes to (-1: left over), its place there, and the number of containers.
 
-    ``owed`` is what each source is owed in tokens; it is changed in place. Without ``last``, items of
-    containers that stay emptier than FULL are left over.
+    ``owed`` is what each source is owed in tokens; it is changed in place. Without ``last``, less than
+    a window of items is left over, and those of the CARRY emptiest containers below FULL.
     """
     n = len(size)
     box, place = np.full(n, -1, np.int64), np.zeros(n, np.int64)
@@ -81,6 +82,7 @@ def fill(size: np.ndarray, source: np.ndarray, share: np.ndarray, owed: np.ndarr
         queues[origin[i]].append(i)
         stacks[length[i]].append(i)
         sizes |= 1 << length[i]
+    active = [s for s, q in enumerate(queues) if q]
     waiting, tokens = n, int(size.sum())
     gone = bytearray(n)
     boxes: list[list[int]] = []
@@ -102,9 +104,14 @@ def fill(size: np.ndarray, source: np.ndarray, share: np.ndarray, owed: np.ndarr
         chosen: list[int] = []
         want = window * capacity
         progress = True
+        for s in active:
+            while queues[s] and gone[queues[s][0]]:
+                queues[s].popleft()
+        active = [s for s in active if queues[s]]
         while progress and want > 0:  # rounds over the queues; a source takes while it is owed its next item
             progress = False
-            for s, q in enumerate(queues):
+            for s in active:
+                q = queues[s]
                 while q and gone[q[0]]:
                     q.popleft()
                 if q and want > 0 and length[q[0]] <= credit[s]:
@@ -114,9 +121,7 @@ def fill(size: np.ndarray, source: np.ndarray, share: np.ndarray, owed: np.ndarr
                     chosen.append(i)
                     progress = True
         if not chosen:  # all that is owed is smaller than the next items: the source owed most goes first
-            s = max((s for s in range(len(queues)) if any(not gone[i] for i in queues[s])), key=lambda s: credit[s])
-            while gone[queues[s][0]]:
-                queues[s].popleft()
+            s = max(active, key=lambda s: credit[s])
             i = queues[s].popleft()
             credit[s] -= length[i]
             chosen.append(i)
@@ -149,6 +154,7 @@ def fill(size: np.ndarray, source: np.ndarray, share: np.ndarray, owed: np.ndarr
         for i in reversed(back):
             queues[origin[i]].appendleft(i)
             credit[origin[i]] += length[i]
+        active = sorted({*active, *(origin[i] for i in back)})
         for b in range(first, len(boxes)):
             while rooms[b] and (fits := sizes & ((1 << (rooms[b] + 1)) - 1)):
                 own = stacks[fits.bit_length() - 1]
@@ -161,8 +167,10 @@ def fill(size: np.ndarray, source: np.ndarray, share: np.ndarray, owed: np.ndarr
                 take(i)
         owed[:] = credit
     used = 0
-    for items, room in zip(boxes, rooms, strict=True):
-        if last or room <= (1 - FULL) * capacity:
+    empty = sorted((b for b, room in enumerate(rooms) if room > (1 - FULL) * capacity), key=lambda b: -rooms[b])
+    apart = set() if last else set(empty[:CARRY])
+    for b, items in enumerate(boxes):
+        if b not in apart:
             at = 0
             for i in items:
                 box[i], place[i] = used, at
@@ -174,41 +182,40 @@ def fill(size: np.ndarray, source: np.ndarray, share: np.ndarray, owed: np.ndarr
     return box, place, used
 
 
-def pack(lengths: DataFrame, capacity: int, targets: dict[str | None, float] | None = None, window: int = WINDOW, part: int = PART, fan: int = FAN, most_sources: int = MOST_SOURCES) -> DataFrame:
+def _with_share(items: DataFrame, targets: dict[str | None, float] | None) -> DataFrame:
+    """The items with ``share``, their source's part of the tokens: as the targets have it, or that of all documents."""
+    if targets:
+        shares = items.sparkSession.createDataFrame([(s, float(x)) for s, x in targets.items()], "of string, share double")
+    else:
+        shares = items.groupBy(F.col("source").alias("of")).agg(F.sum("tokens").cast("double").alias("share"))
+    shares = F.broadcast(shares) if shares.limit(SMALL + 1).count() <= SMALL else shares
+    return items.join(shares, F.col("source").eqNullSafe(F.col("of")), "left").select("doc_id", "source", "tokens", F.coalesce("share", F.lit(0.0)).alias("share"))
+
+
+def pack(lengths: DataFrame, capacity: int, targets: dict[str | None, float] | None = None, window: int = WINDOW, part: int = PART, fan: int = FAN) -> DataFrame:
     """(doc_id, piece, first_token, tokens, container, place): where each document or piece stands.
 
     ``lengths`` has doc_id, source and tokens. A document is divided only if it has more tokens than
     the capacity: into full pieces, each a container of its own, and one rest. Documents without
-    tokens have no row; doc_ids need not be unique. ``targets`` are the sources' shares of the tokens;
-    unset, those of all documents. ``place`` is the first token's place in the container.
+    tokens have no row; doc_ids need not be unique. ``targets`` are the sources' shares of the tokens
+    (those without one come in only where room is left); unset, those of all documents. Each source
+    has a queue of its own, in the partitions that hold some of it. ``place`` is the first token's
+    place in the container.
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
     spark = lengths.sparkSession
     items = lengths.where("tokens > 0").select("doc_id", "source", F.col("tokens").cast("long").alias("tokens"))
-    each = items.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    if each.limit(most_sources + 1).count() > most_sources:
-        large = F.broadcast(each.orderBy(F.col("tokens").desc(), "source").limit(most_sources).select(F.col("source").alias("named"), F.lit(True).alias("large")))
-        items = items.join(large, F.col("source").eqNullSafe(F.col("named")), "left").select("doc_id", F.when(F.col("large"), F.col("source")).otherwise(OTHERS).alias("source"), "tokens")
-        each = items.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-        if targets:  # the queue of the others is owed what they are owed together
-            own = {r["named"] for r in large.collect()}
-            targets = {s: x for s, x in targets.items() if s in own and s != OTHERS} | {OTHERS: sum(x for s, x in targets.items() if s not in own or s == OTHERS)}
-    totals = {r["source"]: (r["tokens"], r["n"]) for r in each.collect()}  # one row a queue
-    sources = sorted(totals, key=lambda s: (s is None, s or ""))
-    weight = np.array([(targets or {}).get(s, 0.0) if targets else totals[s][0] for s in sources], float)
-    share = weight / weight.sum() if weight.sum() > 0 else np.full(len(sources), 1 / max(len(sources), 1))
-    count = sum(n for _, n in totals.values())
-    number = {s: i for i, s in enumerate(sources)}
-
-    cells = items.select("doc_id", "source", F.explode(F.expr(f"transform(sequence(0, cast(ceil(tokens / {capacity}D) as int) - 1), i -> struct(i as piece, i * {capacity}L as first_token, least({capacity}L, tokens - i * {capacity}L) as tokens))")).alias("p")).select("doc_id", "source", "p.*")
+    count = items.count()
+    items = _with_share(items, targets)
+    cells = items.select("doc_id", "source", F.explode(F.expr(f"transform(sequence(0, cast(ceil(tokens / {capacity}D) as int) - 1), i -> struct(i as piece, i * {capacity}L as first_token, least({capacity}L, tokens - i * {capacity}L) as tokens))")).alias("p"), "share").select("doc_id", "source", "p.*", "share")
     whole = cells.where(F.col("tokens") == capacity)
-    whole = whole.withColumn("container", F.concat_ws("-", F.lit("w"), "doc_id", "piece", "first_token")).withColumn("place", F.lit(0).cast("long")).drop("source")
+    whole = whole.withColumn("container", F.concat_ws("-", F.lit("w"), "doc_id", "piece", "first_token")).withColumn("place", F.lit(0).cast("long"))
     left = cells.where(F.col("tokens") < capacity).withColumn("owed", F.lit(0.0))
 
     parts = max(1, -(-count // part))
     out = [whole.select("doc_id", "piece", "first_token", "tokens", "container", "place")]
-    schema = "doc_id long, source string, piece int, first_token long, tokens long, container string, place long, owed double"
+    schema = "doc_id long, source string, piece int, first_token long, tokens long, container string, place long, share double, owed double"
     level = 0
     key = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)).cast("int")
     left = left.withColumn("part", key)
@@ -219,22 +226,27 @@ def pack(lengths: DataFrame, capacity: int, targets: dict[str | None, float] | N
         def run(key: tuple, table: pa.Table, level: int = level, last: bool = last) -> pa.Table:
             no = key[0].as_py()
             real = pa.compute.is_valid(table.column("tokens"))
-            owed = np.zeros(len(sources))
             debts = table.filter(pa.compute.invert(real))
-            for s, x in zip(debts.column("source").to_pylist(), debts.column("owed").to_pylist(), strict=True):
-                owed[number[s]] += x
-            t = table.filter(real).sort_by([("doc_id", "ascending"), ("piece", "ascending")])
-            src = np.array([number[s] for s in t.column("source").to_pylist()], np.int64)
-            size = t.column("tokens").to_numpy()
+            t = table.filter(real).sort_by([("doc_id", "ascending"), ("piece", "ascending"), ("tokens", "ascending")])
             order = np.argsort(A.mix(t.column("doc_id").to_numpy().astype(np.uint64) * np.uint64(31) + t.column("piece").to_numpy().astype(np.uint64)), kind="stable")
-            box, place, _ = fill(size[order], src[order], share, owed, capacity, window, last)
             t = t.take(pa.array(order))
-            names = pa.array([f"{level}-{no}-{b}" if b >= 0 else None for b in box.tolist()], pa.string())
-            rows = pa.table([t.column(c) for c in ("doc_id", "source", "piece", "first_token", "tokens")] + [names, pa.array(place), pa.nulls(len(t), pa.float64())], names=["doc_id", "source", "piece", "first_token", "tokens", "container", "place", "owed"])
+            sources = t.column("source").combine_chunks().dictionary_encode("encode")
+            names, src = sources.dictionary.to_pylist(), sources.indices.to_numpy().astype(np.int64)
+            number = {s: i for i, s in enumerate(names)}
+            share, owed = np.zeros(len(names)), np.zeros(len(names))
+            share[src] = t.column("share").to_numpy()
+            share = share / share.sum() if share.sum() > 0 else np.full(len(names), 1 / max(len(names), 1))
+            for s, x in zip(debts.column("source").to_pylist(), debts.column("owed").to_pylist(), strict=True):
+                if s in number:
+                    owed[number[s]] += x
+            box, place, _ = fill(t.column("tokens").to_numpy(), src, share, owed, capacity, window, last)
+            boxes = pa.array([f"{level}-{no}-{b}" if b >= 0 else None for b in box.tolist()], pa.string())
+            rows = pa.table([t.column(c) for c in ("doc_id", "source", "piece", "first_token", "tokens")] + [boxes, pa.array(place), t.column("share"), pa.nulls(len(t), pa.float64())], names=["doc_id", "source", "piece", "first_token", "tokens", "container", "place", "share", "owed"])
             if last:
                 return rows
-            k = len(sources)
-            carry = pa.table([pa.nulls(k, pa.int64()), pa.array(sources, pa.string()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.array(owed)], names=rows.column_names)
+            left = np.unique(src[box < 0])  # what is owed matters as long as something of the source is left
+            k = len(left)
+            carry = pa.table([pa.nulls(k, pa.int64()), pa.array([names[i] for i in left], pa.string()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.string()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.float64()), pa.array(owed[left])], names=rows.column_names)
             return pa.concat_tables([rows, carry])
 
         done = cut(_apply(left, run, schema), f"packed-{level}")

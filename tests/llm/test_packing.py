@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from newsloom.llm import packing as K
@@ -55,10 +56,35 @@ def test_mixture_follows_the_targets(spark):
             assert abs(mix[s] / sum(mix.values()) - want) < 0.06, (w, s)
 
 
-def test_many_small_sources_share_a_queue(spark):
+def test_every_source_has_its_own_queue(spark):
     sizes = {i: 5 + i % 20 for i in range(300)}
-    df = spark.createDataFrame([(i, "big" if i % 2 else (f"s{i}" if i % 5 else None), n, "") for i, n in sizes.items()], SCHEMA)
-    check(K.pack(df, 100, window=4, most_sources=3).collect(), sizes, 100)
+    source = {i: "big" if i % 2 else (f"s{i}" if i % 5 else None) for i in sizes}
+    df = spark.createDataFrame([(i, source[i], n, "") for i, n in sizes.items()], SCHEMA)
+    check(K.pack(df, 100, window=4).collect(), sizes, 100)
+    check(K.pack(df, 100, targets={"big": 0.7, None: 0.2, "s2": 0.1, "unheard": 0.5}, window=4, part=50, fan=2).collect(), sizes, 100)
+
+
+@pytest.mark.parametrize(("low", "high"), [(1100, 1900), (600, 900), (200, 2000)])
+def test_what_is_left_over_is_bounded(low, high):
+    """Lengths of 0.3 to 0.9 of the capacity, which fit together badly: a partition leaves a window and CARRY containers at most."""
+    rnd = np.random.default_rng(low)
+    for n in (5_000, 20_000):
+        size = rnd.integers(low, high, n)
+        box, place, used = K.fill(size, np.zeros(n, np.int64), np.ones(1), np.zeros(1), 2048, K.WINDOW, False)
+        assert size[box < 0].sum() <= (K.WINDOW + K.CARRY) * 2048
+        held = np.bincount(box[box >= 0], weights=size[box >= 0], minlength=used)
+        assert (held <= 2048).all() and (held > 0).all()
+        every = -(-n // (2048 // low)) if high <= 2 * low else n
+        assert used <= every
+
+
+def test_hard_lengths_in_many_partitions(spark):
+    rnd = random.Random(3)
+    sizes = {i: rnd.randrange(1100, 1900) for i in range(4000)}
+    df = spark.createDataFrame([(i, f"s{i % 7}", n, "") for i, n in sizes.items()], SCHEMA)
+    rows = K.pack(df, 2048, window=8, part=500, fan=2).collect()
+    check(rows, sizes, 2048)
+    assert len({r.container for r in rows}) == len(sizes)  # no two fit together
 
 
 def test_limits(spark):
@@ -76,14 +102,3 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "s", "hello world", 1), (2, None, "", 1), (3, "s", None, 1), (4, "s", "<|endoftext|> नेपाल", 1)], "doc_id long, source string, text string, tokens int")
     got = {r.doc_id: r.tokens for r in K.token_counts(df, ranks).collect()}
     assert set(got) == {1, 4} and got[1] in (2, 3) and got[4] > 3
-
-
-def test_pooled_sources_keep_their_targets_together(spark, monkeypatch):
-    from newsloom.llm import packing
-
-    shares = []
-    real = packing._apply
-    monkeypatch.setattr(packing, "_apply", lambda left, run, schema: shares.append(run.__closure__[[*run.__code__.co_freevars].index("share")].cell_contents.tolist()) or real(left, run, schema))
-    rows = [(i, s, n) for i, (s, n) in enumerate([("a", 50), ("a", 50), ("b", 20), ("c", 10)])]
-    packing.pack(spark.createDataFrame(rows, "doc_id long, source string, tokens long"), 100, targets={"a": 0.5, "b": 0.3, "c": 0.2}, most_sources=1)
-    assert shares[0] == [0.5, 0.5]
