@@ -2,9 +2,11 @@
 
 Per source and column the lengths of values without a proper end are counted in characters and in
 bytes; a length far above its neighbours is the source's limit, and values of that length without
-terminal punctuation are cut. Values cut elsewhere, mid-transfer, are told by how they end: running
-texts by the lack of terminal punctuation before any note that follows, headlines by words after
-which headlines do not end, or by a last word that begins a longer word of the same article's text.
+terminal punctuation are cut. The rest of a source's lengths tell how it ends its texts elsewhere: if
+it usually does with punctuation, a running text without it was cut mid-transfer, where no spike can
+show; a source that does without is believed at its limits only, or where a text breaks off in the
+middle of a character, an entity or a tag. Headlines cut mid-transfer are told by words after which
+headlines do not end, or by a last word that begins a longer word of the same article's text.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ ORDER = 4
 #: A length is a limit if so many values of a source have it, and so many times more than have the lengths around it
 #: and than have the two lengths above it.
 SPIKE, TIMES, AROUND = 6, 4.0, 12
+#: A source does without punctuation at the end if less than this share of its texts off its limits has some (of SEEN texts at least).
+HABIT = 0.5
 
 # What can follow a text. Characters that end a sentence, also in quotes or brackets.
 ENDED = r"[.!?।॥．！？。|][”\"’')\]»]*$"
@@ -186,7 +190,7 @@ def limits(values: DataFrame) -> DataFrame:
 
 
 def field_values(articles: DataFrame) -> DataFrame:
-    """(article_id, source_id, field, chars, bytes, open, sure) of the values there are; open: without a proper end; sure: cut by its look alone.
+    """(article_id, source_id, field, chars, bytes, open, sure) of the values there are; open: without a proper end; sure: cut by its look, wherever its source's limits are (null if only its source's habit tells).
 
     Null and empty values have no row. A summary that is the article's headline is taken as one.
     """
@@ -194,7 +198,8 @@ def field_values(articles: DataFrame) -> DataFrame:
     texts = a.select("id", "source_id", "title", F.explode(F.expr("map('summary', summary, 'summary_translated', summary_translated)")).alias("field", "value")).where(F.length(F.trim("value")) > 0)
     headline = F.lower(F.trim("value")) == F.lower(F.trim(F.coalesce("title", F.lit(""))))
     open_ = _running(F.col("value")) & ~headline
-    running = texts.select(F.col("id").alias("article_id"), "source_id", "field", F.length(F.col("value")).alias("chars"), F.octet_length("value").alias("bytes"), open_.alias("open"), open_.alias("sure"))
+    broken = F.when(_bare(F.col("value")).rlike(BROKEN) | _bare(F.col("value")).rlike(MORE), True)
+    running = texts.select(F.col("id").alias("article_id"), "source_id", "field", F.length(F.col("value")).alias("chars"), F.octet_length("value").alias("bytes"), open_.alias("open"), broken.alias("sure"))
 
     titles = a.where(F.length(F.trim("title")) > 0).withColumn("t", F.regexp_replace(_bare(F.col("title")), TAGS, ""))
     titles = titles.withColumn("t", F.when(F.col("t") == "", F.col("title")).otherwise(F.col("t")))
@@ -218,14 +223,23 @@ def field_values(articles: DataFrame) -> DataFrame:
 
 
 def cut_values(articles: DataFrame) -> DataFrame:
-    """The rows of field_values with ``cut``: at its source's limit without a proper end, or cut by its look."""
+    """The rows of field_values with ``cut``, ``at_limit`` (at a spike of its source's lengths) and ``by_end`` (cut by how it ends, off the spikes).
+
+    A value without a proper end is cut if it is at its source's limit; elsewhere if its look tells so,
+    unless the source's values off the limits usually have no proper end.
+    """
     values = cut(field_values(articles), "values")
     found = limits(values)
     chars = found.where("unit = 'chars'").select("source_id", "field", F.col("size").alias("chars"), F.lit(True).alias("at_chars"))
     bytes_ = found.where("unit = 'bytes'").select("source_id", "field", F.col("size").alias("bytes"), F.lit(True).alias("at_bytes"))
-    out = values.join(chars, ["source_id", "field", "chars"], "left").join(bytes_, ["source_id", "field", "bytes"], "left")
-    at = F.coalesce("at_chars", "at_bytes", F.lit(False))
-    return out.select("article_id", "source_id", "field", "chars", "bytes", (F.col("open") & (at | F.col("sure"))).alias("cut"), at.alias("at_limit"))
+    held = [values.source_id.eqNullSafe(chars.source_id) & (values.field == chars.field) & (values.chars == chars.chars), values.source_id.eqNullSafe(bytes_.source_id) & (values.field == bytes_.field) & (values.bytes == bytes_.bytes)]
+    at = F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("at_limit")
+    out = values.join(chars, held[0], "left").join(bytes_, held[1], "left").select(values["*"], at)
+    off = out.where("NOT at_limit").groupBy("source_id", "field").agg((F.count_if("NOT open") / F.count("*")).alias("ended"), F.count("*").alias("n"))
+    careless = off.where((F.col("n") >= SEEN) & (F.col("ended") < HABIT)).select(F.col("source_id").alias("s"), F.col("field").alias("f"), F.lit(False).alias("ends"))
+    out = out.join(careless, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")), "left")
+    told = F.coalesce("sure", "ends", F.lit(True))
+    return out.select("article_id", "source_id", "field", "chars", "bytes", (F.col("open") & (F.col("at_limit") | told)).alias("cut"), "at_limit", (F.col("open") & told & ~F.col("at_limit")).alias("by_end"))
 
 
 def without_residue(cut_fields: DataFrame, residue: DataFrame) -> DataFrame:
@@ -234,6 +248,6 @@ def without_residue(cut_fields: DataFrame, residue: DataFrame) -> DataFrame:
 
 
 def rates(cut_fields: DataFrame) -> DataFrame:
-    """(source_id, field, n, n_cut, share): how often each source cuts each field."""
+    """(source_id, field, n, n_cut, n_limit, n_end, share): how often each source cuts each field, at its limit and by how the rest end."""
     n_cut = F.count_if("cut")
-    return cut_fields.groupBy("source_id", "field").agg(F.count("*").alias("n"), n_cut.alias("n_cut"), F.round(n_cut / F.count("*"), 6).alias("share"))
+    return cut_fields.groupBy("source_id", "field").agg(F.count("*").alias("n"), n_cut.alias("n_cut"), F.count_if(F.col("cut") & F.col("at_limit")).alias("n_limit"), F.count_if("by_end").alias("n_end"), F.round(n_cut / F.count("*"), 6).alias("share"))

@@ -56,6 +56,23 @@ def test_cut_values_and_rates(spark):
     assert found["a", "summary", "chars"] in (199, 200) and found["b", "title", "chars"] in (39, 40)
 
 
+def test_a_source_that_does_without_full_stops(spark):
+    """Its texts are cut at its limit, or where they break off inside a tag; texts of another source that end so are cut anywhere."""
+    rnd = random.Random(5)
+    said = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    rows = [(f"x{i}", "bare", None, said(rnd.randrange(9, 40)), None, None) for i in range(200)]
+    rows += [(f"y{i}", "bare", None, said(40)[:150], None, None) for i in range(60)]
+    rows += [("z", "bare", None, said(12) + " <a hre", None, None)]
+    rows += [(f"p{i}", "plain", None, said(rnd.randrange(9, 40)) + ("" if i < 5 else "."), None, None) for i in range(100)]
+    out = T.cut_values(spark.createDataFrame(rows, SCHEMA))
+    got = {r.article_id: r for r in out.where("cut").collect()}
+    assert set(got) - {r[0] for r in rows if r[3] and len(r[3]) == 150} == {"z"} | {f"p{i}" for i in range(5)}
+    assert {f"y{i}" for i in range(60)} <= set(got)
+    assert got["y1"].at_limit and not got["y1"].by_end and got["p1"].by_end
+    r = {x.source_id: x for x in T.rates(out).collect()}
+    assert r["plain"].n_end == 5 and r["plain"].n_limit == 0 and r["bare"].n_limit >= 60 and r["bare"].n_end == 1
+
+
 def test_limits_in_bytes(spark):
     rows = [("s", "summary", 100 + i % 60, 300, True) for i in range(40)] + [("s", "summary", 50 + i, 100 + 7 * i, True) for i in range(30)]
     df = spark.createDataFrame(rows, "source_id string, field string, chars int, bytes int, open boolean")
