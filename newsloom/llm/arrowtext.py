@@ -109,10 +109,14 @@ def concat(parts: list[tuple[np.ndarray, np.ndarray]], glue: int = 0x20) -> tupl
 
 # --------------------------------------------------------------------------- tables
 
-#: Letters that cannot be told from a Latin letter, as pairs "look-alike, Latin".
+#: Letters that cannot be told from a Latin letter, as pairs "look-alike, Latin": Cyrillic, Greek,
+#: Armenian, phonetic and Coptic ones, Cherokee and Lisu.
 LOOK_ALIKES = (
     "аa еe оo рp сc уy хx ѕs іi јj ԁd һh ԛq ԝw ѵv ӏl кk АA ВB ЕE КK МM НH ОO РP СC ТT УY ХX ЅS ІI ЈJ "
-    "οo νv αa ιi ρp κk υu γy χx ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϲc ϳj ɑa ɡg ıi ꞌ' օo սu հh"
+    "οo νv αa ιi ρp κk υu γy χx ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϲc ϳj ɑa ɡg ıi ꞌ' օo սu հh "
+    "ԍG ԌG ѴV ԚQ ԜW ƽs Ɩl ɩi ǀl ɪi ᴄc ᴏo ᴠv ᴡw ᴢz ꜱs ⲟo ⲞO ⲣp ⲢP ⲥc ⲤC "
+    "ᎠD ᎡR ᎢT Ꭵi ᎪA ᎫJ ᎬE ᎳW ᎷM ᎻH ᎽY ᏀG Ꮒh ᏃZ ᏞL ᏟC ᏢP ᏙV ᏚS ᏦK ᏴB ᏔW ᏒR ᏕS "
+    "ꓐB ꓑP ꓓD ꓔT ꓖG ꓗK ꓙJ ꓚC ꓜZ ꓝF ꓟM ꓠN ꓡL ꓢS ꓣR ꓦV ꓧH ꓪW ꓫX ꓬY ꓮA ꓰE ꓲI ꓳO ꓴU"
 ).split()
 #: Devanagari spellings in two characters that look like one (Unicode Standard, chapter 12,
 #: vowel letters not to be used), as "first, second, one letter".
