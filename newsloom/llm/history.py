@@ -283,19 +283,19 @@ class History:
 
     def known(self, records: DataFrame) -> DataFrame:
         """(ref) of the records that history has already."""
-        titles = _title_keys(_titles(records), True, "cls").distinct()
-        through = cut(self.screen_keys(_exact_keys(records).withColumn("cls", F.lit(None).cast("long")).unionByName(titles)), "through")
+        null = F.lit(None).cast("long")
+        exact = F.array(*[F.struct(F.col(k).alias("key"), null.alias("cls")) for k in ("k_id", "k_url")])
+        slots = F.when(F.col("cls").isNotNull(), F.array(*[F.col("slot") + d for d in (-1, 0, 1)]))
+        titled = F.flatten(F.transform(slots, lambda t: F.transform("kept", lambda w: F.struct(F.xxhash64(w, t).alias("key"), F.col("cls").alias("cls")))))
+        asked = records.select(F.inline(F.concat(exact, F.coalesce(titled, F.array().cast("array<struct<key: bigint, cls: bigint>>"))))).where("key IS NOT NULL").distinct()
+        through = cut(self.screen_keys(asked), "through")
         asking = through.select("bucket", "key", F.col("cls").alias("asked"))
         asking = F.broadcast(asking) if through.count() <= MOST_ASKED else asking
-        met = self.keys().select("bucket", "key", "cls", F.col("words").alias("wb"), "lo", "hi").join(asking, ["bucket", "key"])
-        exact = met.where("asked IS NULL AND cls IS NULL").select("key")
+        met = self.keys().select("bucket", "key", "cls", F.col("words").alias("wb"), "lo", "hi").join(asking, ["bucket", "key"]).where(F.col("asked").isNull() == F.col("cls").isNull())
+        met = met.select(F.coalesce("asked", "key").alias("tag"), "wb", "lo", "hi")
+        mine = records.select("ref", "at", F.inline(F.array(*[F.struct(F.col(k).alias("tag"), F.when(F.lit(k == "cls"), F.col("words")).alias("wa")) for k in ("k_id", "k_url", "cls")])))
         near = (F.abs(F.col("at") - F.col("lo")) <= SLOT_S * 1_000_000) | (F.abs(F.col("at") - F.col("hi")) <= SLOT_S * 1_000_000)
-        timed = records.where("cls IS NOT NULL").select("ref", "at", F.col("cls").alias("asked"), F.col("words").alias("wa"))
-        titled = met.where("asked IS NOT NULL AND cls IS NOT NULL").select("asked", "wb", "lo", "hi")
-        found = titled.join(timed, "asked").where(near & shares_enough()).select("ref")
-        for k in ("k_id", "k_url"):
-            found = found.unionByName(records.select("ref", F.col(k).alias("key")).join(exact, "key", "left_semi").select("ref"))
-        out = cut(found.distinct(), "known")
+        out = cut(mine.join(met, "tag").where((F.col("wa").isNull() & F.col("wb").isNull()) | (near & shares_enough())).select("ref").distinct(), "known")
         drop(through)
         return out
 
