@@ -235,3 +235,30 @@ def shown_text(item: str, lang: Column) -> Column:
     own = (c("original_lang") == lang) | (F.coalesce(c("title_translated"), F.lit("")) == "")
     translated = F.struct(c("title_translated").alias("title"), F.coalesce(c("summary_translated"), F.lit("")).alias("summary"))
     return F.when(own, F.struct(c("title").alias("title"), c("summary").alias("summary"))).otherwise(translated)
+
+
+#: What topics are called.
+TOPIC_NAMES = {
+    "breaking": ("Breaking", "ताजा"), "politics": ("Politics", "राजनीति"), "world": ("World", "विश्व"), "business": ("Business", "अर्थतन्त्र"), "sports": ("Sports", "खेलकुद"),
+    "technology": ("Tech", "प्रविधि"), "health": ("Health", "स्वास्थ्य"), "environment": ("Environment", "वातावरण"), "society": ("Society", "समाज"),
+}
+
+
+def topic_label(topic: Column, lang: Column) -> Column:
+    """What a topic is called in the reader's language; null if there is no such topic."""
+    called = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for t, names in TOPIC_NAMES.items() for x in (t, names[i])]), topic)
+    return F.when(lang == "np", called(1)).otherwise(called(0))
+
+
+def lang_attr(lang: Column) -> Column:
+    """The language as markup names it."""
+    return F.when(lang == "np", "ne").otherwise("en")
+
+
+def lang_name(lang: Column) -> Column:
+    return F.when(lang == "np", "Nepali").otherwise("English")
+
+
+def subscriber_lang(value: Column) -> Column:
+    """The language that a reader's stored wish means."""
+    return F.when(value == "np", "np").otherwise("en")

@@ -69,8 +69,9 @@ def local_day(at: Column, zone: str = "Asia/Kathmandu") -> Column:
 
 
 def content_key(id_: Column, text: Column) -> Column:
-    """ "id:hash" with the 32-bit FNV-1a of the text's code points in base 36; equal to one over UTF-16 units for texts of the basic plane."""
+    """ "id:hash" with the 32-bit FNV-1a of the text's UTF-16 units in base 36."""
     prime, mask = F.lit(16777619).cast("long"), F.lit(0xFFFFFFFF).cast("long")
     start = F.lit(2166136261).cast("long")
-    h = F.aggregate(F.transform(F.filter(F.split(text, ""), lambda ch: ch != ""), lambda ch: F.ascii(ch).cast("long")), start, lambda a, c: (a.bitwiseXOR(c) * prime).bitwiseAND(mask))
+    units = F.regexp_extract_all(F.hex(F.encode(text, "UTF-16BE")), F.lit("(....)"), F.lit(1))
+    h = F.aggregate(F.transform(units, lambda x: F.conv(x, 16, 10).cast("long")), start, lambda a, c: (a.bitwiseXOR(c) * prime).bitwiseAND(mask))
     return F.concat_ws(":", id_, F.lower(F.conv(h.cast("string"), 10, 36)))

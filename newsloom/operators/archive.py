@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -19,10 +19,11 @@ def upsert(archive: DataFrame, batch: DataFrame, key: str = "id", keep: tuple[st
     """The archive after the batch: matched rows take the batch's columns, but for ``keep``; new rows are added.
 
     Columns that the batch lacks stay as they are; a null that the batch brings is taken. Of equal
-    keys in the batch the one last seen counts. With first_seen_at among the archive's columns, new
+    keys in the batch the one last seen counts, of those the one whose hash is least. With first_seen_at among the archive's columns, new
     rows get their last_seen_at for it.
     """
-    last = F.row_number().over(Window.partitionBy(key).orderBy(*([F.col("last_seen_at").desc_nulls_last()] if "last_seen_at" in batch.columns else [F.lit(1)])))
+    seen = [F.col("last_seen_at").desc_nulls_last()] if "last_seen_at" in batch.columns else []
+    last = F.row_number().over(Window.partitionBy(key).orderBy(*seen, F.xxhash64(F.to_json(F.struct(*batch.columns)))))
     one = batch.withColumn("_n", last).where("_n = 1").drop("_n")
     a, b = archive.alias("a"), one.alias("b")
     new, both = F.col(f"a.{key}").isNull(), F.col(f"b.{key}").isNotNull()
@@ -93,3 +94,9 @@ def longest_by(df: DataFrame, key: str, text: str, id_col: str = "id") -> DataFr
     """The row with the longest text of each key, the least id of equals."""
     n = F.coalesce(F.length(text), F.lit(0))
     return df.groupBy(key).agg(F.min_by(F.col(id_col), F.struct((-n).alias("n"), F.col(id_col).alias("i"))).alias(id_col), F.max(n).alias("length"))
+
+
+def counted(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """The rows, and counters over them (conditions) that are filled in as the rows are written, without a pass of their own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(k) for k, c in counters.items()]), seen

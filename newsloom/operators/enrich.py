@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from ..functions import audit
 from ..functions import text as tx
 from ..ship import ship
+from .order import numbered
 
 
 class Enricher(Protocol):
@@ -34,12 +35,8 @@ def route(df: DataFrame, cached: DataFrame) -> DataFrame:
 
 
 def batches(df: DataFrame, size: int, *order: Column) -> DataFrame:
-    """The rows with batch_no and place, in order: ``size`` rows to a batch.
-
-    The rows are ranked within ranges of the first order column, so that no task holds all of them.
-    """
-    n = F.row_number().over(Window.orderBy(*order)) - 1
-    return df.withColumn("_n", n).withColumn("batch_no", F.floor(F.col("_n") / size).cast("int")).withColumn("place", (F.col("_n") % size).cast("int")).drop("_n")
+    """The rows with batch_no and place, in order: ``size`` rows to a batch. They are numbered by ranges, no task holds them all."""
+    return numbered(df, "_n", *order).withColumn("batch_no", F.floor(F.col("_n") / size).cast("int")).withColumn("place", (F.col("_n") % size).cast("int")).drop("_n")
 
 
 def affordable(df: DataFrame, per_pass: int, tokens_left: int, tokens_each: int) -> DataFrame:
@@ -104,8 +101,39 @@ def merge_verdicts(df: DataFrame, verdicts: DataFrame) -> DataFrame:
     return t.withColumn("quality", q).drop("_s", "_t", "_v")
 
 
+def verify_candidates(df: DataFrame) -> DataFrame:
+    """The stories that a second look is due for: bilingual, with a translation, and without a verdict so far."""
+    return df.where(F.coalesce("quality.bilingual", F.lit(False)) & (F.coalesce("summary_translated", F.lit("")) != "") & F.col("quality.verified").isNull())
+
+
+def carry_verdicts(df: DataFrame, earlier: DataFrame) -> DataFrame:
+    """The stories with the verdict, and its note, that ``earlier`` (id, quality) has of them, where the audit has passed again: those with a quality."""
+    old = earlier.where("quality.verified IS NOT NULL").select("id", F.col("quality.verified").alias("_v"), F.col("quality.note").alias("_n"))
+    known = F.col("_v").isNotNull()
+    q = F.struct(F.col("quality.audited").alias("audited"), F.col("quality.bilingual").alias("bilingual"), F.when(known, F.col("_v")).otherwise(F.col("quality.verified")).alias("verified"), F.when(known, F.col("_n")).otherwise(F.col("quality.note")).alias("note"))
+    return df.join(old, "id", "left").withColumn("quality", F.when(F.col("quality").isNotNull(), q)).drop("_v", "_n")
+
+
+def default_verdicts(df: DataFrame) -> DataFrame:
+    """The stories with a quality each: those that no audit has seen count as audited, and as bilingual if they have a translation."""
+    unseen = F.struct(F.lit(True).alias("audited"), (F.coalesce("summary_translated", F.lit("")) != "").alias("bilingual"), F.lit(None).cast("boolean").alias("verified"), F.lit(None).cast("string").alias("note"))
+    return df.withColumn("quality", F.when(F.col("quality").isNull(), unseen).otherwise(F.col("quality")))
+
+
+def proper_nouns(c: Column) -> Column:
+    """The different capitalised words of Latin letters, of three letters at least."""
+    return F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(?<![A-Za-z0-9_])([A-Z][a-z]{2,})(?![A-Za-z0-9_])"), F.lit(1)))
+
+
+def names_kept(source: Column, target: Column, from_lang: Column) -> Column:
+    """The share of an English source's names that stand in the translation as they are; null for other languages, where names are written anew."""
+    said = proper_nouns(source)
+    kept = F.size(F.filter(said, lambda w: F.contains(F.coalesce(target, F.lit("")), w)))
+    return F.when(from_lang == "en", F.when(F.size(said) == 0, 1.0).otherwise(kept / F.size(said)))
+
+
 def fidelity(df: DataFrame, source: Column, target: Column, lang: Column) -> DataFrame:
-    """The rows with figures kept, names kept, script right and relative length of a translation."""
+    """The rows with figures kept, script right and relative length of a translation; ``names_kept`` tells of names."""
     digits = lambda c: F.translate(c, "०१२३४५६७८९", "0123456789")
     numbers = lambda c: F.array_distinct(F.regexp_extract_all(digits(F.coalesce(c, F.lit(""))), F.lit(r"(\d+(?:[.,]\d+)*)"), F.lit(1)))
     have, got = numbers(source), numbers(target)

@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..functions import url as ul
 from ..functions.classify import classify_topic, is_breaking
 from ..functions.html import to_text
+from .order import numbered
 
 #: Days of the ranges a reader can ask for, hours for which a marked story is breaking, an outlet's credibility if unset.
 RANGES = {"day": 1, "week": 7, "month": 30}
@@ -28,6 +29,21 @@ def active(sources: DataFrame) -> DataFrame:
     return sources.where("active AND rss_url IS NOT NULL")
 
 
+def by_priority(sources: DataFrame) -> DataFrame:
+    """The outlets in the order in which they are fetched: by priority, then id; with their ``place``, from 0."""
+    return numbered(sources, "place", F.col("priority").desc_nulls_last(), F.col("id").asc())
+
+
+def of_topic(df: DataFrame, topic: str) -> DataFrame:
+    """Rows of a topic; "all" filters nothing."""
+    return df if topic == "all" else df.where(F.col("topic") == topic)
+
+
+def with_summary(df: DataFrame) -> DataFrame:
+    """Rows with any body text."""
+    return df.where(F.coalesce("summary", F.lit("")) != "")
+
+
 def valid_stories(raw: DataFrame, sources: DataFrame) -> DataFrame:
     """Feed records with a headline and an address, of known outlets, below the outlet's address prefix if it has one."""
     s = source_dim(sources.select(F.col("id").alias("source_id"), "url_prefix"))

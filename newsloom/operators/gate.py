@@ -40,3 +40,10 @@ def preview(df: DataFrame) -> DataFrame:
     """(policy, n): how many rows each policy would let through, in one pass."""
     counts = df.agg(*[F.count_if(publishable(p)).alias(p) for p in POLICIES])
     return counts.select(F.explode(F.map_from_arrays(F.array(*[F.lit(p) for p in POLICIES]), F.array(*POLICIES))).alias("policy", "n"))
+
+
+def share_warnings(df: DataFrame, least: float = 0.25) -> DataFrame:
+    """(policy, n, kept, warn): whether a policy lets less than ``least`` of the feed through, which looks like a feed that has stopped."""
+    total = df.agg(F.count("*").alias("n"), *[F.count_if(publishable(p)).alias(p) for p in POLICIES])
+    kept = total.select("n", F.explode(F.map_from_arrays(F.array(*[F.lit(p) for p in POLICIES]), F.array(*POLICIES))).alias("policy", "kept"))
+    return kept.select("policy", "n", "kept", ((F.col("n") > 0) & (F.col("kept") < F.col("n") * least)).alias("warn"))

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import running_sum
+
 
 def sliding_rate(df: DataFrame, key: str, at_s: Column, window_s: int, limit: int) -> DataFrame:
     """The events with ``in_window``, how many of their key are at most ``window_s`` - 1 seconds old then, and ``wait_s`` until there is room again."""
@@ -17,27 +24,27 @@ def sliding_rate(df: DataFrame, key: str, at_s: Column, window_s: int, limit: in
 def fixed_windows(df: DataFrame, key: str, id_col: str, at_s: Column, window_s: int, limit: int) -> DataFrame:
     """(key, id, n, allowed, retry_s): windows of ``window_s`` seconds that begin with a key's first event after the last one ended.
 
-    A window's start depends on the one before, so each key's events are folded in order. Keys are
-    first cut into sessions at gaps of a whole window, after which any event starts a new one; so a
-    fold holds a session, not a key's whole history.
+    A window's start depends on the one before, so each key's events pass through a task in order;
+    all that it holds of them is where the window began and how many were in it.
     """
-    t = df.select(key, id_col, at_s.cast("long").alias("_at"))
-    t = t.withColumn("_new", (F.coalesce(F.col("_at") - F.lag("_at").over(Window.partitionBy(key).orderBy("_at", id_col)) >= window_s, F.lit(True))).cast("int"))
-    t = t.withColumn("_session", F.sum("_new").over(Window.partitionBy(key).orderBy("_at", id_col).rowsBetween(Window.unboundedPreceding, 0)))
-    kind = dict(t.dtypes)[id_col]
-    rows = t.groupBy(key, "_session").agg(F.array_sort(F.collect_list(F.struct("_at", F.col(id_col).alias("i")))).alias("xs"))
-    state = f"struct<start: bigint, n: int, out: array<struct<i: {kind}, n: int, retry: bigint>>>"
-    start = F.struct(F.lit(-(1 << 60)).cast("long").alias("start"), F.lit(0).alias("n"), F.array().cast(f"array<struct<i: {kind}, n: int, retry: bigint>>").alias("out")).cast(state)
-
-    def step(a: Column, x: Column) -> Column:
-        fresh = x["_at"] - a["start"] >= window_s
-        s = F.when(fresh, x["_at"]).otherwise(a["start"])
-        n = F.when(fresh, 1).otherwise(a["n"] + 1)
-        retry = F.when(n > limit, F.greatest(F.lit(1).cast("long"), s + window_s - x["_at"])).otherwise(F.lit(0).cast("long"))
-        return F.struct(s.alias("start"), n.alias("n"), F.concat(a["out"], F.array(F.struct(x["i"].alias("i"), n.alias("n"), retry.alias("retry")))).alias("out")).cast(state)
-
-    out = rows.select(key, F.explode(F.aggregate("xs", start, step)["out"]).alias("x"))
-    return out.select(key, F.col("x.i").alias(id_col), F.col("x.n").alias("n"), (F.col("x.n") <= limit).alias("allowed"), F.col("x.retry").alias("retry_s"))
+    t = df.select(F.col(key).alias("k"), F.col(id_col).alias("i"), at_s.cast("long").alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, start, n, begun = None, 0, 0, False
+        for b in batches:
+            ns, retries = [], []
+            for k, at in zip(b.column("k").to_pylist(), b.column("at").to_pylist(), strict=True):
+                if not begun or k != now or at - start >= window_s:
+                    now, start, n, begun = k, at, 0, True
+                n += 1
+                ns.append(n)
+                retries.append(max(1, start + window_s - at) if n > limit else 0)
+            count = pa.array(ns, pa.int32())
+            yield pa.record_batch([b.column("k"), b.column("i"), count, pa.compute.less_equal(count, limit), pa.array(retries, pa.int64())], names=["k", "i", "n", "allowed", "retry_s"])
+
+    kinds = dict(t.dtypes)
+    out = t.where("at IS NOT NULL").repartition("k").sortWithinPartitions("k", "at", "i").mapInArrow(run, f"k {kinds['k']}, i {kinds['i']}, n int, allowed boolean, retry_s long")
+    return out.select(F.col("k").alias(key), F.col("i").alias(id_col), "n", "allowed", "retry_s")
 
 
 def daily(df: DataFrame, at: Column, amount: Column, budget: float, *by: str) -> DataFrame:
@@ -48,19 +55,36 @@ def daily(df: DataFrame, at: Column, amount: Column, budget: float, *by: str) ->
 
 
 def running_spend(df: DataFrame, at: Column, id_col: str, amount: Column) -> DataFrame:
-    """The events with the sum spent that day so far."""
-    w = Window.partitionBy(F.to_date(at)).orderBy(at, id_col).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("spent_so_far", F.sum(F.coalesce(amount, F.lit(0.0))).over(w))
+    """The events with the sum spent that day so far; a day may be any number of tasks."""
+    return running_sum(df, "spent_so_far", F.to_date(at), F.coalesce(amount, F.lit(0.0)), at.asc(), F.col(id_col).asc())
 
 
 def smoothed_cost(df: DataFrame, key: str, order: Column, amount: Column, start: int = 8500) -> DataFrame:
     """(key, cost, n): the moving estimate after each key's amounts in order, round(0.7 old + 0.3 new); amounts not above 0 leave it.
 
-    The rounding at each step makes it a fold; ``key`` should be one that bounds the group, such as a day.
+    The rounding at each step makes it a fold; a key's amounts pass through a task in order, and only
+    the estimate is held.
     """
-    xs = df.where(amount > 0).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), amount.cast("double").alias("x")))).alias("xs"))
-    cost = F.aggregate("xs", F.lit(start).cast("long"), lambda a, s: F.floor(a * F.lit(0.7) + s["x"] * F.lit(0.3) + F.lit(0.5)).cast("long"))
-    return xs.select(key, cost.alias("cost"), F.size("xs").alias("n"))
+    t = df.where(amount > 0).select(F.col(key).alias("k"), order.alias("o"), amount.cast("double").alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, cost, n = None, start, 0
+        for b in batches:
+            done: list[tuple] = []
+            kinds = [b.schema.field("k"), pa.field("cost", pa.int64()), pa.field("n", pa.int32())]
+            for k, x in zip(b.column("k").to_pylist(), b.column("x").to_pylist(), strict=True):
+                if n and k != now:
+                    done.append((now, cost, n))
+                    cost, n = start, 0
+                now, cost, n = k, math.floor(cost * 0.7 + x * 0.3 + 0.5), n + 1
+            if done:
+                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), kinds, strict=True)], names=["k", "cost", "n"])
+        if n:
+            yield pa.record_batch([pa.array([v], f.type) for v, f in zip((now, cost, n), kinds, strict=True)], names=["k", "cost", "n"])
+
+    kind = dict(t.dtypes)["k"]
+    out = t.repartition("k").sortWithinPartitions("k", "o", "x").mapInArrow(run, f"k {kind}, cost long, n int")
+    return out.select(F.col("k").alias(key), "cost", "n")
 
 
 def cooldown_s(retry_after: Column, body: Column) -> Column:
@@ -72,6 +96,11 @@ def cooldown_s(retry_after: Column, body: Column) -> Column:
     return F.when(header > 0, F.greatest(F.lit(30.0), header)).when(daily_, 1800.0).when(seconds.isNotNull(), F.greatest(F.lit(30.0), minutes * 60 + seconds)).otherwise(30.0)
 
 
+def never_lower(spent: Column, body: Column) -> Column:
+    """What counts as spent: the ledger's own sum, or the amount that a refusal names if that is greater."""
+    return F.greatest(spent, F.coalesce(reported_usage(body), F.lit(0)))
+
+
 def reported_usage(body: Column) -> Column:
     """The amount used that a refusal names, "Used 1234"; a ledger takes the greater of that and its own."""
     return F.regexp_extract(body, r"(?i)used[: ]+(\d+)", 1).try_cast("long")

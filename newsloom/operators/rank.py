@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .order import numbered
+
 #: Weights of the score's parts, and the hours after which freshness has halved.
 COVERAGE, CREDIBILITY, FRESHNESS, BREAKING, HALF_LIFE_H = 40.0, 3.0, 45.0, 20.0, 12.0
 
@@ -16,6 +18,11 @@ def score(coverage: Column, credibility: Column, at_s: Column, topic: Column, no
     return F.log2(coverage + F.lit(1.0)) * COVERAGE + credibility * CREDIBILITY + F.pow(F.lit(0.5), age_h / HALF_LIFE_H) * FRESHNESS + F.when(topic == "breaking", BREAKING).otherwise(0.0)
 
 
+def ranked(df: DataFrame, *order: Column) -> DataFrame:
+    """All rows with their ``rank`` in the order, from 1."""
+    return numbered(df, "_n", *order).withColumn("rank", F.col("_n") + 1).drop("_n")
+
+
 def top(df: DataFrame, limit: int, *order: Column) -> DataFrame:
     return df.orderBy(*order).limit(max(0, limit))
 

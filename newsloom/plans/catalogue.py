@@ -65,7 +65,8 @@ def by_score() -> tuple[Column, Column]:
 
 @query
 def rank_stories(s, d):
-    return scored(s, d).select("id", "source_id", "topic", "at_s", "score")
+    """All stories by newsworthiness."""
+    return rank.ranked(scored(s, d).select("id", "source_id", "topic", "at_s", "score"), *by_score())
 
 
 @query
@@ -92,7 +93,9 @@ def digest_section_counts(s, d):
 
 @query
 def related_stories(s, d):
-    return rank.related(articles(s, d).select("id", "topic", "at_s"), "", "health", F.col("at_s")).select("id", "topic")
+    a = articles(s, d).select("id", "topic", "at_s")
+    own = a.where("topic = 'health'").orderBy(F.col("at_s").desc_nulls_last(), "id").first()  # it would come first, were it not left out
+    return rank.related(a, own["id"], "health", F.col("at_s")).select("id", "topic")
 
 
 @query
@@ -150,6 +153,40 @@ def source_status(s, d):
     return feed.source_status(raw, src, feed.valid_stories(raw, src))
 
 
+@query
+def ok_sources(s, d):
+    raw, src = table(s, d, "raw_stories"), table(s, d, "sources")
+    return feed.source_status(raw, src, feed.valid_stories(raw, src)).agg(F.count_if("ok").alias("ok"), F.count("*").alias("n"))
+
+
+@query
+def sources_by_priority(s, d):
+    return feed.by_priority(feed.active(table(s, d, "sources"))).select("id", long(F.col("priority")).alias("priority"), "place")
+
+
+@query
+def topic_filter(s, d):
+    a = table(s, d, "articles")
+    n = lambda t: feed.of_topic(a, t).agg(F.count("*").alias("n")).select(F.lit(t).alias("topic"), "n")
+    return n("all").unionByName(n("sports")).unionByName(n("weather"))
+
+
+@query
+def with_summary(s, d):
+    return feed.with_summary(table(s, d, "articles")).select("id", "bucket")
+
+
+@query
+def topic_labels(s, d):
+    a = table(s, d, "articles")
+    return a.select("id", tx.topic_label(F.col("topic"), F.lit("en")).alias("en"), tx.topic_label(F.col("topic"), F.lit("np")).alias("np"), tx.lang_attr(F.col("original_lang")).alias("attr"), tx.lang_name(F.col("original_lang")).alias("lang"))
+
+
+@query
+def reader_languages(s, d):
+    return table(s, d, "subscribers").groupBy(tx.subscriber_lang(F.col("language")).alias("lang")).agg(F.count("*").alias("n"))
+
+
 @query
 def source_dim_join(s, d):
     src = feed.source_dim(feed.active(table(s, d, "sources")).select(F.col("id").alias("source_id"), "country", "priority"))
@@ -200,8 +237,7 @@ def title_pairs_jaccard(s, d):
 
 def _owners(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     a = spread(table(s, d, "articles")).withColumn("at_s", secs("published_at")).where("at_s IS NOT NULL").select("id", "title", "at_s", "source_id", "image_url")
-    pairs = dedup.cut(dedup.title_pairs(a, "id", F.col("title"), F.col("at_s")), "pairs")
-    return a, dedup.greedy(a, "id", pairs.select("a", "b"), -F.col("at_s"))
+    return a, dedup.greedy_alike(a, "id", F.col("title"), F.col("at_s"), -F.col("at_s"))
 
 
 @query
@@ -424,6 +460,11 @@ def preview_policies(s, d):
     return gate.preview(table(s, d, "articles"))
 
 
+@query
+def publish_share(s, d):
+    return gate.share_warnings(table(s, d, "articles"))
+
+
 # ------------------------------------------------------------------ archive and enrichment
 
 
@@ -532,6 +573,39 @@ def merge_verdicts(s, d):
     return m.select("id", F.col("quality.verified").alias("verified"), F.col("quality.bilingual").alias("bilingual"), (F.coalesce("title_translated", F.lit("")) != "").alias("translated"))
 
 
+@query
+def verify_candidates(s, d):
+    return enrich.verify_candidates(table(s, d, "articles")).select("id")
+
+
+@query
+def carry_verdicts(s, d):
+    """Stories whose audit was made again, with the verdicts that the archive has."""
+    a = table(s, d, "articles")
+    again = F.when(F.col("quality.audited"), F.struct(F.lit(True).alias("audited"), F.col("quality.bilingual").alias("bilingual"), F.lit(None).cast("boolean").alias("verified"), F.lit(None).cast("string").alias("note")))
+    return enrich.carry_verdicts(a.withColumn("quality", again), a).select("id", F.col("quality.audited").alias("audited"), F.col("quality.verified").alias("verified"), F.col("quality.note").alias("note"))
+
+
+@query
+def default_verdicts(s, d):
+    return enrich.default_verdicts(table(s, d, "articles")).select("id", F.col("quality.audited").alias("audited"), F.col("quality.bilingual").alias("bilingual"), F.col("quality.verified").alias("verified"))
+
+
+@query
+def names_kept(s, d):
+    k = enrich.names_kept(F.col("summary"), F.col("summary_translated"), F.col("original_lang"))
+    return spread(table(s, d, "articles")).where("summary IS NOT NULL AND summary_translated IS NOT NULL").select("id", F.round(k, 6).alias("kept"))
+
+
+@query
+def write_counters(s, d):
+    """What was counted while the archive was written."""
+    rows, seen = archive.counted(table(s, d, "articles"), "archive", translated=F.coalesce("summary_translated", F.lit("")) != "", pictured=F.col("image_url").isNotNull())
+    rows.write.parquet(new_path(s, "written"))
+    got = seen.get
+    return s.createDataFrame([(got["rows"], got["translated"], got["pictured"])], "rows long, translated long, pictured long")
+
+
 @query
 def cap_summaries(s, d):
     return enrich.cap_summaries(spread(table(s, d, "articles"))).select("id", "summary")
@@ -589,11 +663,76 @@ def mark_delivery(s, d):
     return subscribers.delivery_counts(subscribers.mark(dl, marks)).groupBy("status").agg(F.sum("n").alias("n"))
 
 
+def _requests(s: SparkSession, d: str) -> DataFrame:
+    """Sign-ups: known readers in other letter case, some twice, and new ones."""
+    sub = table(s, d, "subscribers").where("email IS NOT NULL AND requested_at IS NOT NULL").withColumn("requested_at", F.col("requested_at").cast("timestamp"))
+    again = sub.where("id % 5 = 0").select("id", F.upper("email").alias("email"), F.lit("np").alias("language"), "requested_at", "source_ip", "user_agent")
+    twice = sub.where("id % 10 = 0").select("id", F.concat(F.lit(" "), "email").alias("email"), F.lit("xx").alias("language"), (F.col("requested_at") + F.expr("INTERVAL 1 HOUR")).alias("requested_at"), "source_ip", "user_agent")
+    new = sub.where("id % 5 = 1").select((F.col("id") + 1_000_000_000).alias("id"), F.concat(F.lit("New."), "email").alias("email"), "language", "requested_at", "source_ip", "user_agent")
+    return again.unionByName(twice).unionByName(new)
+
+
+def _readers(s: SparkSession, d: str) -> DataFrame:
+    """The subscribers with one row for each address, as a store that is keyed by it has them."""
+    sub = table(s, d, "subscribers")
+    sub = sub.select(*[F.col(f.name).cast("timestamp") if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in sub.schema])
+    return dedup.first_of_each(sub.where("email IS NOT NULL").withColumn("e", F.lower(F.trim("email"))), "e", F.col("id")).drop("e")
+
+
 @query
 def subscriber_upsert(s, d):
-    sub = table(s, d, "subscribers")
-    req = sub.where("id % 5 = 0").select("id", "email", F.lit("np").alias("language"), "requested_at").unionByName(sub.where("id % 5 = 1").select((F.col("id") + 1_000_000_000).alias("id"), F.concat(F.lit("new."), "email").alias("email"), "language", "requested_at"))
-    return subscribers.request(sub, req).select("id", "email", "language", "status")
+    return subscribers.request(_readers(s, d), _requests(s, d)).select("id", F.lower(F.trim("email")).alias("email"), "language", "status", secs("requested_at").alias("at_s"))
+
+
+def _confirmed(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r = _readers(s, d)
+    known = r.where("id % 3 = 0").select("id", F.upper("email").alias("email"), F.timestamp_seconds(F.lit(AS_OF)).alias("at"))
+    new = r.where("id % 7 = 0").select((F.col("id") + 1_000_000_000).alias("id"), F.concat(F.lit("late."), "email").alias("email"), F.timestamp_seconds(F.lit(AS_OF)).alias("at"))
+    return subscribers.confirm(r, known.unionByName(new))
+
+
+@query
+def confirm_subscribers(s, d):
+    rows, _ = _confirmed(s, d)
+    return rows.select("id", F.lower(F.trim("email")).alias("email"), "status", secs("confirmed_at").alias("confirmed_s"), secs("unsubscribed_at").alias("left_s"))
+
+
+@query
+def unsubscribe_readers(s, d):
+    r = _readers(s, d)
+    rows, _ = subscribers.unsubscribe(r, r.where("id % 4 = 0").select("email", F.timestamp_seconds(F.lit(AS_OF)).alias("at")))
+    return rows.select("id", "status", secs("unsubscribed_at").alias("left_s"))
+
+
+@query
+def event_log(s, d):
+    """The log with the changes that confirmations make, numbered on."""
+    events = table(s, d, "subscription_events").withColumn("at", F.col("at").cast("timestamp"))
+    return subscribers.log(events, _confirmed(s, d)[1]).select("id", "subscriber_id", "event", secs("at").alias("at_s"), "detail")
+
+
+def _claim(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    dl = table(s, d, "digest_deliveries").withColumn("attempted_at", F.col("attempted_at").cast("timestamp"))
+    had = table(s, d, "subscribers").where("id % 11 = 0").select("id")
+    return subscribers.claim(table(s, d, "subscribers"), dl, F.to_date(F.lit("2026-05-20")), F.lit("2026-05-20 01:00:00").cast("timestamp"), 25, had)
+
+
+@query
+def claim_lease(s, d):
+    """The first recipients that a run may still claim, without those that it has had."""
+    return _claim(s, d)[1]
+
+
+@query
+def claim_ledger(s, d):
+    """The deliveries after that claim."""
+    return _claim(s, d)[0].select(F.col("digest_date").cast("string").alias("day"), "subscriber_id", "status", secs("attempted_at").alias("at_s"), "error")
+
+
+@query
+def delivered_to(s, d):
+    x = subscribers.delivered_to(table(s, d, "digest_deliveries"), table(s, d, "subscribers"))
+    return x.groupBy("status", "language").agg(F.count("*").alias("n"), F.count_distinct("email").alias("readers"))
 
 
 # ------------------------------------------------------------------ ledgers
@@ -647,6 +786,14 @@ def refusal_cooldowns(s, d):
     return e.select("event_id", ledger.cooldown_s(header, body).cast("double").alias("wait_s"), ledger.reported_usage(body).alias("used"))
 
 
+@query
+def never_lower(s, d):
+    """What counts as spent in a day, where refusals name amounts that may be greater."""
+    e = events(s, d).withColumn("body", F.when(F.col("event_id") % 50 == 0, F.concat(F.lit("Rate limit. Used "), F.col("event_id").cast("string"))))
+    day = e.groupBy(F.to_date("ts").cast("string").alias("day")).agg(F.count("*").alias("own"), F.max_by("body", F.coalesce(ledger.reported_usage(F.col("body")), F.lit(-1))).alias("body"))
+    return day.select("day", ledger.never_lower(F.col("own"), F.col("body")).alias("spent"))
+
+
 # ------------------------------------------------------------------ streams
 
 
@@ -669,6 +816,13 @@ def stream_dedup_ids(s, d):
     return streams.run_to_end(streams.without_repeats(both, "event_id", "ts"), "repeats").select("event_id")
 
 
+@query
+def stream_without_alike(s, d):
+    """Stories as they arrive, without those that tell what a kept one within two hours has told."""
+    a = streams.read_stream(s, d, "articles").where("published_at IS NOT NULL").select("id", "title", "published_at")
+    return streams.without_alike(a, "id", "title", "published_at").select("id")
+
+
 @query
 def stream_upsert(s, d):
     """Batches of articles merged into the archive as they arrive."""

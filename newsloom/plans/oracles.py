@@ -218,12 +218,12 @@ LAST_BATCH = "(SELECT * FROM article_batches WHERE id IS NOT NULL QUALIFY row_nu
 EVENTS = f"(SELECT *, {secs('ts')} AS at_s FROM events)"
 
 SQL: dict[str, str] = {
-    "rank_stories": f"SELECT id, source_id, topic, at_s, score FROM {SCORED}",
+    "rank_stories": f"SELECT id, source_id, topic, at_s, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM {SCORED}",
     "trending_top6": f"SELECT id, source_id, score FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY score DESC, id) AS rn FROM {SCORED}) ORDER BY CASE WHEN rn > 2 THEN 1 ELSE 0 END, score DESC, id LIMIT 6",
     "ticker_top8": f"SELECT id, topic, coverage_count, at_s FROM {A} WHERE at_s <= {AS_OF} AND {AS_OF} - at_s < 43200 ORDER BY CASE WHEN coalesce(topic = 'breaking' OR coverage_count > 1, false) THEN 0 ELSE 1 END, at_s DESC, id LIMIT 8",
     "digest_pick": f"SELECT id, section, CAST(coverage_count AS BIGINT) AS coverage_count, at_s FROM {DIGEST}",
     "digest_section_counts": f"SELECT section, count(*) AS n FROM {DIGEST} GROUP BY section",
-    "related_stories": f"SELECT id, topic FROM {A} WHERE id <> '' ORDER BY CASE WHEN topic IS NOT DISTINCT FROM 'health' THEN 0 ELSE 1 END, at_s DESC NULLS LAST, id LIMIT 6",
+    "related_stories": f"SELECT id, topic FROM {A} WHERE id <> (SELECT id FROM {A} WHERE topic = 'health' ORDER BY at_s DESC NULLS LAST, id LIMIT 1) ORDER BY CASE WHEN topic IS NOT DISTINCT FROM 'health' THEN 0 ELSE 1 END, at_s DESC NULLS LAST, id LIMIT 6",
     "per_source_limit": "SELECT raw_id, source_id FROM raw_stories QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY raw_id) <= 30",
     "diversify_by_source": f"""WITH RECURSIVE best AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS n, id, source_id FROM {SCORED} ORDER BY score DESC, id LIMIT 60),
       walk(pos, pool, id, source_id) AS (
@@ -341,7 +341,6 @@ SQL: dict[str, str] = {
     "claim_recipients": "SELECT id, language FROM subscribers s WHERE status = 'confirmed' AND NOT EXISTS (SELECT 1 FROM digest_deliveries d WHERE d.subscriber_id = s.id AND digest_date = DATE '2026-05-20' AND (d.status = 'sent' OR (d.status = 'sending' AND epoch_us(attempted_at) > epoch_us(TIMESTAMP '2026-05-20 00:45:00'))))",
     "delivery_counts": "SELECT CAST(digest_date AS VARCHAR) AS day, status, count(*) AS n FROM digest_deliveries GROUP BY 1, 2",
     "mark_delivery": "SELECT CASE WHEN status = 'sending' THEN 'failed' ELSE status END AS status, count(*) AS n FROM digest_deliveries GROUP BY 1",
-    "subscriber_upsert": "SELECT id, email, CASE WHEN id % 5 = 0 THEN 'np' ELSE language END AS language, status FROM subscribers UNION ALL SELECT id + 1000000000, 'new.' || email, language, NULL FROM subscribers WHERE id % 5 = 1",
     "sliding_rate": f"""SELECT event_id, n AS in_window, CASE WHEN n > 2 THEN 3600 - (at_s - first) ELSE 0 END AS wait_s FROM (SELECT event_id, at_s, count(*) OVER w AS n, min(at_s) OVER w AS first FROM {EVENTS} WINDOW w AS (PARTITION BY user_id ORDER BY at_s RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW))""",
     "fixed_window_limit": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, at_s, row_number() OVER (PARTITION BY user_id ORDER BY at_s, event_id) AS k FROM {EVENTS}),
       walk AS (SELECT user_id, event_id, at_s, k, at_s AS start, CAST(1 AS BIGINT) AS n FROM e WHERE k = 1
@@ -408,9 +407,55 @@ SQL["cap_summaries"] = f"SELECT id, CASE WHEN coalesce(enrichment_key, '') <> ''
 SQL["audit_stories"] = f"""SELECT a.id, count(*) FILTER (WHERE severity = 'fatal') = 0 AS ok, count(code) AS n FROM articles a
   LEFT JOIN (SELECT * FROM ({_audit()}) UNION ALL SELECT * FROM ({_audit("title", 10, False)})) f ON f.id = a.id GROUP BY 1"""
 
-# FNV-1a over code points
-SQL["content_keys"] = """WITH h AS (SELECT id, list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(string_split(title, ''), lambda c: CAST(unicode(c) AS UBIGINT))), lambda a, c: (xor(a, c) * 16777619) & 4294967295) AS h FROM articles WHERE title IS NOT NULL)
+# FNV-1a over UTF-16 units
+SQL["content_keys"] = """WITH h AS (SELECT id, list_reduce(list_prepend(CAST(2166136261 AS UBIGINT), list_transform(flatten(list_transform(string_split(title, ''), lambda x: CASE WHEN unicode(x) > 65535 THEN [55296 + (unicode(x) - 65536) // 1024, 56320 + (unicode(x) - 65536) % 1024] ELSE [unicode(x)] END)), lambda c: CAST(c AS UBIGINT))), lambda a, c: (xor(a, c) * 16777619) & 4294967295) AS h FROM articles WHERE title IS NOT NULL)
   SELECT id, id || ':' || lower(to_base(CAST(h AS BIGINT), 36)) AS key FROM h"""
 SQL["page_paragraphs"] = f"""SELECT id, CASE WHEN length(p) >= 120 AND n > 0 AND len(regexp_split_to_array(p, '[{WS}]+')) * 1.0 / greatest(1, n) <= 40 AND NOT regexp_matches(p, {q(PAGE_BOILERPLATE)}) THEN p ELSE '' END AS text FROM (
   SELECT id, p, len(regexp_extract_all(p, '[.!?।]')) AS n FROM (
-    SELECT id, regexp_replace({squeeze("summary")}, '(?i)^(?:shares?|tweet|share this|follow us|advertisement|listen to this article)[{WS}]+', '') AS p FROM articles WHERE summary <> ''))"""
+    SELECT id, regexp_replace({squeeze(decode_once("summary"))}, '(?i)^(?:shares?|tweet|share this|follow us|advertisement|listen to this article)[{WS}]+', '') AS p FROM articles WHERE summary <> ''))"""
+
+_ONE_READER = "(SELECT * FROM subscribers WHERE email IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(email)) ORDER BY id) = 1)"
+SQL["subscriber_upsert"] = f"""WITH r AS (SELECT *, lower(trim(email)) AS e, {secs('requested_at')} AS s FROM {_ONE_READER}),
+  raw AS (SELECT *, {secs('requested_at')} AS s FROM subscribers WHERE email IS NOT NULL AND requested_at IS NOT NULL),
+  q AS (SELECT lower(trim(email)) AS e, id, 'np' AS lang, s FROM raw WHERE id % 5 = 0
+    UNION ALL SELECT lower(trim(email)), id, 'en', s + 3600 FROM raw WHERE id % 10 = 0
+    UNION ALL SELECT lower(trim('New.' || email)), id + 1000000000, CASE WHEN language = 'np' THEN 'np' ELSE 'en' END, s FROM raw WHERE id % 5 = 1),
+  last AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY e ORDER BY s DESC, id DESC) = 1),
+  first AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY e ORDER BY s, id) = 1)
+  SELECT r.id, r.e AS email, coalesce(l.lang, r.language) AS language, r.status, coalesce(l.s, r.s) AS at_s FROM r LEFT JOIN last l ON l.e = r.e
+  UNION ALL SELECT f.id, f.e, l.lang, 'pending', l.s FROM first f JOIN last l ON l.e = f.e WHERE f.e NOT IN (SELECT e FROM r)"""
+SQL["confirm_subscribers"] = f"""SELECT id, lower(trim(email)) AS email, CASE WHEN id % 3 = 0 THEN 'confirmed' ELSE status END AS status,
+    CASE WHEN id % 3 = 0 AND status IS DISTINCT FROM 'confirmed' THEN {AS_OF} ELSE {secs('confirmed_at')} END AS confirmed_s,
+    CASE WHEN id % 3 = 0 AND status IS DISTINCT FROM 'confirmed' THEN NULL ELSE {secs('unsubscribed_at')} END AS left_s FROM {_ONE_READER}
+  UNION ALL SELECT id + 1000000000, lower(trim('late.' || email)), 'confirmed', {AS_OF}, NULL FROM {_ONE_READER} WHERE id % 7 = 0"""
+SQL["unsubscribe_readers"] = f"""SELECT id, CASE WHEN id % 4 = 0 THEN 'unsubscribed' ELSE status END AS status, CASE WHEN id % 4 = 0 AND status IS DISTINCT FROM 'unsubscribed' THEN {AS_OF} ELSE {secs('unsubscribed_at')} END AS left_s FROM {_ONE_READER}"""
+SQL["event_log"] = f"""SELECT id, subscriber_id, event, {secs('"at"')} AS at_s, detail FROM subscription_events
+  UNION ALL SELECT (SELECT max(id) FROM subscription_events) + row_number() OVER (ORDER BY i), i, 'confirmed', {AS_OF}, d FROM (
+    SELECT id AS i, '{{}}' AS d FROM {_ONE_READER} WHERE id % 3 = 0 AND status IS DISTINCT FROM 'confirmed' UNION ALL SELECT id + 1000000000, '{{"backfilled":true}}' FROM {_ONE_READER} WHERE id % 7 = 0)"""
+_CLAIMED = f"(SELECT s.* FROM subscribers s JOIN ({SQL['claim_recipients']}) c ON c.id = s.id WHERE s.id % 11 <> 0 ORDER BY s.id LIMIT 25)"
+SQL["claim_lease"] = f"SELECT id, email, language FROM {_CLAIMED}"
+SQL["claim_ledger"] = f"""SELECT CAST(digest_date AS VARCHAR) AS day, subscriber_id, status, {secs('attempted_at')} AS at_s, error FROM digest_deliveries
+    WHERE NOT (digest_date = DATE '2026-05-20' AND subscriber_id IN (SELECT id FROM {_CLAIMED}))
+  UNION ALL SELECT '2026-05-20', id, 'sending', CAST(epoch(TIMESTAMP '2026-05-20 01:00:00') AS BIGINT), NULL FROM {_CLAIMED}"""
+SQL["delivered_to"] = "SELECT d.status, s.language, count(*) AS n, count(DISTINCT s.email) AS readers FROM digest_deliveries d JOIN subscribers s ON s.id = d.subscriber_id GROUP BY 1, 2"
+SQL["ok_sources"] = "SELECT count(*) FILTER (WHERE id IN (SELECT source_id FROM raw_stories)) AS ok, count(*) AS n FROM sources WHERE active AND rss_url IS NOT NULL"
+SQL["sources_by_priority"] = "SELECT id, CAST(priority AS BIGINT) AS priority, row_number() OVER (ORDER BY priority DESC NULLS LAST, id) - 1 AS place FROM sources WHERE active AND rss_url IS NOT NULL"
+SQL["topic_filter"] = "SELECT t AS topic, count(*) FILTER (WHERE t = 'all' OR topic = t) AS n FROM articles, (VALUES ('all'), ('sports'), ('weather')) v(t) GROUP BY 1"
+SQL["with_summary"] = "SELECT id, bucket FROM articles WHERE length(summary) > 0"
+_NAMES = [("breaking", "Breaking", "ताजा"), ("politics", "Politics", "राजनीति"), ("world", "World", "विश्व"), ("business", "Business", "अर्थतन्त्र"), ("sports", "Sports", "खेलकुद"), ("technology", "Tech", "प्रविधि"), ("health", "Health", "स्वास्थ्य"), ("environment", "Environment", "वातावरण"), ("society", "Society", "समाज")]
+SQL["topic_labels"] = "SELECT id, CASE topic " + " ".join(f"WHEN '{t}' THEN '{e}'" for t, e, _ in _NAMES) + " END AS en, CASE topic " + " ".join(f"WHEN '{t}' THEN '{n}'" for t, _, n in _NAMES) + " END AS np, CASE WHEN original_lang = 'np' THEN 'ne' ELSE 'en' END AS attr, CASE WHEN original_lang = 'np' THEN 'Nepali' ELSE 'English' END AS lang FROM articles"
+SQL["reader_languages"] = "SELECT CASE WHEN language = 'np' THEN 'np' ELSE 'en' END AS lang, count(*) AS n FROM subscribers GROUP BY 1"
+SQL["publish_share"] = f"SELECT p.policy, t.n, p.n AS kept, t.n > 0 AND p.n < t.n * 0.25 AS warn FROM ({SQL['preview_policies']}) p, (SELECT count(*) AS n FROM articles) t"
+SQL["verify_candidates"] = "SELECT id FROM articles WHERE quality.bilingual AND summary_translated <> '' AND quality.verified IS NULL"
+SQL["carry_verdicts"] = "SELECT id, CASE WHEN quality.audited THEN true END AS audited, CASE WHEN quality.audited THEN quality.verified END AS verified, CASE WHEN quality.audited AND quality.verified IS NOT NULL THEN quality.note END AS note FROM articles"
+SQL["default_verdicts"] = "SELECT id, CASE WHEN quality IS NULL THEN true ELSE quality.audited END AS audited, CASE WHEN quality IS NULL THEN coalesce(summary_translated, '') <> '' ELSE quality.bilingual END AS bilingual, quality.verified AS verified FROM articles"
+SQL["names_kept"] = """SELECT id, CASE WHEN original_lang = 'en' THEN CASE WHEN len(w) = 0 THEN 1.0 ELSE round(len(list_filter(w, lambda x: contains(summary_translated, x))) * 1.0 / len(w), 6) END END AS kept
+  FROM (SELECT *, list_distinct(regexp_extract_all(summary, '\\b([A-Z][a-z]{2,})\\b', 1)) AS w FROM articles WHERE summary IS NOT NULL AND summary_translated IS NOT NULL)"""
+SQL["write_counters"] = "SELECT count(*) AS rows, count(*) FILTER (WHERE summary_translated <> '') AS translated, count(image_url) AS pictured FROM articles"
+SQL["never_lower"] = "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, greatest(count(*), coalesce(max(event_id) FILTER (WHERE event_id % 50 = 0), 0)) AS spent FROM events GROUP BY 1"
+SQL["stream_without_alike"] = SQL["dedup_greedy"].replace("ORDER BY -at_s, id", "ORDER BY at_s, id")
+# which account of a page is taken: structured data if there is any, the page's paragraphs, its description
+_PAGE = f"""(SELECT a.id, CASE WHEN coverage_count > 1 THEN 2 * length(summary) + 1 ELSE 0 END AS ld, length({squeeze(decode(strip_tags(decode_once("left(summary, 140)"))))}) AS m, length(p.text) AS p,
+    coalesce(regexp_matches(trim(image_url), '^(?:https:)?//[^/]+'), false) AS image FROM articles a JOIN ({SQL['page_paragraphs']}) p ON p.id = a.id WHERE summary <> '')"""
+SQL["parse_pages"] = f"""SELECT CASE WHEN ld >= 600 THEN 'jsonld' WHEN p >= 120 AND p > CASE WHEN ld >= 120 THEN ld WHEN m >= 120 THEN m ELSE 0 END THEN 'paragraphs' WHEN ld >= 120 THEN 'jsonld' WHEN m >= 120 THEN 'meta' ELSE 'og' END AS via,
+    count(*) AS n, count(*) FILTER (WHERE image) AS images FROM {_PAGE} WHERE greatest(ld, m, p) >= 60 OR image GROUP BY 1"""

@@ -66,6 +66,14 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
     return items.unionByName(entries)
 
 
+def file_status(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
+    """(file, ok, n, error) of all feed files under a path, those without a record included; ``records`` is what was read of them."""
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")  # the contents are not read
+    got = records.groupBy("file").agg(F.count("*").alias("n"))
+    error = F.when(F.col("length") == 0, "the file is empty").when(F.col("n").isNull(), "no record could be read")
+    return files.join(got, "file", "left").select("file", error.isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("n"), error.alias("error"))
+
+
 def first_records(raw: DataFrame, source: str, *order: Column, limit: int = PER_SOURCE) -> DataFrame:
     """The first ``limit`` records of each outlet."""
     return raw.withColumn("_n", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where(F.col("_n") <= limit).drop("_n")
@@ -81,7 +89,8 @@ def with_pages(stories: DataFrame, pages: DataFrame) -> DataFrame:
     """Stories with what their pages (url, text, image_url) add: a picture if they have none, the text if it is longer and no pitch."""
     from ..functions.text import is_boilerplate
 
-    p = pages.dropDuplicates(["url"]).select(F.col("url").alias("source_url"), F.col("text").alias("_t"), F.col("image_url").alias("_i"))
+    longest = F.struct(F.coalesce(F.length("text"), F.lit(-1)).alias("n"), "text", "image_url")  # of several pages of an address
+    p = pages.groupBy("url").agg(F.max(longest).alias("p")).select(F.col("url").alias("source_url"), F.col("p.text").alias("_t"), F.col("p.image_url").alias("_i"))
     longer = (F.length("_t") > F.length(F.coalesce("summary", F.lit("")))) & ~is_boilerplate(F.col("_t"))
     t = stories.join(p, "source_url", "left")
     return t.withColumn("summary", F.when(longer, F.col("_t")).otherwise(F.col("summary"))).withColumn("image_url", F.coalesce("image_url", "_i")).drop("_t", "_i")
