@@ -20,7 +20,6 @@ import json
 import math
 import re
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pyarrow as pa
@@ -306,10 +305,7 @@ class History:
         Nulls match nothing; a row of nulls alone is accepted; an empty batch gives an empty result.
         """
         records = cut(_records(batch, "row_id", self.common), "batch")
-        with ThreadPoolExecutor(1) as beside:  # what meets within the batch is looked for while history is asked
-            groups = beside.submit(_groups, records)
-            known = self.known(records)
-            groups = groups.result()
+        known, groups = self.known(records), _groups(records)
         lost = _lost(groups, known, one_task)
         rejected = known.unionByName(lost).withColumn("accepted", F.lit(False))
         result = cut(records.join(rejected, "ref", "left").withColumn("accepted", F.coalesce("accepted", F.lit(True))), "screened")
@@ -383,28 +379,26 @@ def _decide(table: DataFrame) -> DataFrame:
 
 
 def _rounds(table: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """The decision in rounds: a row that no undecided row comes before in any group it looks at is decided by those accepted there."""
+    """The decision in rounds: rows that an accepted row matches are lost, and of the others each is accepted that no undecided row comes before in any group it looks at."""
     open_, lost, taken = cut(table, "open"), [], None
     for _ in range(max_rounds):
+        if taken is not None:
+            near = F.col("own") | (F.abs(F.col("at") - F.col("its")) <= SLOT_S * 1_000_000)
+            met = open_.join(taken.toDF("g", "its", "by"), "g").where((F.col("by") < F.col("ref")) & near)
+            lost.append(cut(met.select("ref").distinct(), "lost"))
+            open_ = open_.join(lost[-1], "ref", "left_anti")
         first = open_.where("own").groupBy("g").agg(F.min("ref").alias("first"))
-        ready = open_.join(first, "g", "left").groupBy("ref").agg(F.min("first").alias("least")).where("least IS NULL OR least >= ref").select("ref")
-        near = F.col("own") | (F.abs(F.col("at") - F.col("its")) <= SLOT_S * 1_000_000)
-        now = open_.join(ready, "ref", "left_semi")
-        if taken is None:
-            state = now.withColumn("hit", F.lit(False))
-        else:
-            state = now.join(taken.select("g", F.col("at").alias("its"), F.lit(True).alias("there")), "g", "left").withColumn("hit", F.coalesce(F.col("there") & near, F.lit(False)))
-        verdict = cut(state.groupBy("ref").agg(F.max("hit").alias("hit")), "verdict")
-        lost.append(verdict.where("hit").select("ref"))
-        won = open_.where("own").join(verdict.where("NOT hit"), "ref", "left_semi").select("g", "at")
-        taken = cut(won if taken is None else taken.unionByName(won), "taken")
-        open_ = cut(open_.join(verdict, "ref", "left_anti"), "open")
+        ready = open_.join(first, "g", "left").groupBy("ref").agg(F.bool_and(F.coalesce(F.col("first") >= F.col("ref"), F.lit(True))).alias("ready"))
+        state = cut(open_.join(ready, "ref"), "state")
+        won = state.where("ready AND own").select("g", "at", "ref")
+        taken = won if taken is None else taken.unionByName(won)
+        open_ = state.where("NOT ready").drop("ready")
         if open_.isEmpty():
             break
     else:
         raise RuntimeError(f"rows are still undecided after {max_rounds} rounds")
-    out = lost[0]
-    for x in lost[1:]:
+    out = table.select("ref").limit(0)
+    for x in lost:
         out = out.unionByName(x)
     return out.distinct()
 
