@@ -230,12 +230,12 @@ def cut_values(articles: DataFrame) -> DataFrame:
     """
     values = cut(field_values(articles), "values")
     found = limits(values)
-    chars = found.where("unit = 'chars'").select("source_id", "field", F.col("size").alias("chars"), F.lit(True).alias("at_chars"))
-    bytes_ = found.where("unit = 'bytes'").select("source_id", "field", F.col("size").alias("bytes"), F.lit(True).alias("at_bytes"))
-    held = [values.source_id.eqNullSafe(chars.source_id) & (values.field == chars.field) & (values.chars == chars.chars), values.source_id.eqNullSafe(bytes_.source_id) & (values.field == bytes_.field) & (values.bytes == bytes_.bytes)]
-    at = F.coalesce("at_chars", "at_bytes", F.lit(False)).alias("at_limit")
-    out = values.join(chars, held[0], "left").join(bytes_, held[1], "left").select(values["*"], at)
-    off = out.where("NOT at_limit").groupBy("source_id", "field").agg((F.count_if("NOT open") / F.count("*")).alias("ended"), F.count("*").alias("n"))
+    out = values
+    for unit in ("chars", "bytes"):
+        own = found.where(F.col("unit") == unit).select(F.col("source_id").alias("s"), F.col("field").alias("f"), F.col("size").alias("z"), F.lit(True).alias(f"at_{unit}"))
+        out = out.join(own, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")) & (F.col(unit) == F.col("z")), "left").drop("s", "f", "z")
+    out = out.withColumn("at_limit", F.coalesce("at_chars", "at_bytes", F.lit(False)))
+    off = out.where("NOT at_limit").groupBy("source_id", "field").agg((F.count_if(~F.col("open")) / F.count("*")).alias("ended"), F.count("*").alias("n"))
     careless = off.where((F.col("n") >= SEEN) & (F.col("ended") < HABIT)).select(F.col("source_id").alias("s"), F.col("field").alias("f"), F.lit(False).alias("ends"))
     out = out.join(careless, F.col("source_id").eqNullSafe(F.col("s")) & (F.col("field") == F.col("f")), "left")
     told = F.coalesce("sure", "ends", F.lit(True))
