@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import os
 import random
+from collections import Counter
 
 import pytest
 
@@ -129,3 +131,47 @@ def test_a_bounded_sample_has_all_subjects(spark, monkeypatch):
     rows = [(s, f"The {w} of place {i} was {w} again.") for s, w in (("business", "market"), ("world", "treaty")) for i in range(60)]
     model = subjects.train(spark.createDataFrame(rows, "subject string, text string"), spark.createDataFrame([], "doc_id long, text string"))
     assert model.subjects == ["business", "world"]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_items_with_other_names_and_figures_are_found(spark):
+    """Recall of re-parameterised items: each word that few items have is replaced by one other word, each figure by another."""
+    items = spark.read.parquet("/root/testdata/sf0.001/eval_items.parquet").select("item_id", "text")
+    rows = items.collect()
+    often = Counter(w for r in rows for w in {x.strip(".,;:?!।“”\"'()").lower() for x in r.text.split()})
+    docs, templates = [], set()
+    for r in rows:
+        new, told = [], []
+        for x in r.text.split():
+            core = x.strip(".,;:?!।“”\"'()")
+            if core and any(c.isdigit() for c in core):
+                new.append(x.replace(core, str(7 + len(core) * 13)))
+            elif core and often[core.lower()] < L.SHARED and core.lower() not in L.UNITS.split():
+                new.append(x.replace(core, "qo" + core.lower()[::-1]))
+            else:
+                new.append(x)
+                told.append(len(new) - 1)
+        docs.append((r.item_id, "Before it. " + " ".join(new), 0))
+        told = set(told)
+        if any(sum(j in told for j in range(i, i + 20)) >= L.TOLD + 1 for i in range(len(new) - 19)):
+            templates.add(r.item_id)
+    got = L.leaks(spark.createDataFrame(docs, DOC), items)
+    found = {r.doc_id for r in got.where("NOT verbatim AND doc_id = item_id").collect()}
+    assert len(templates) >= 0.5 * len(rows)
+    assert len(found & templates) >= 0.9 * len(templates)
+
+
+def test_joined_with_a_shuffle_or_broadcast_is_the_same(spark):
+    it, names = items(spark)
+    docs = spark.createDataFrame([(i, "x " * i + FRAME.format(*names[i % 4]), 0) for i in range(8)] + [(20, FRAME.format("Gorha", "Vesh", "611", "5", "Hinbu"), 0)], DOC)
+    one, two = (sorted(map(tuple, L.leaks(docs, it, most_windows=n).collect())) for n in (L.MOST_WINDOWS, 0))
+    assert one == two and len(one) > 8
+
+
+def test_runs_of_placeholders_only_match_as_they_are(spark):
+    """Items that share no words: with placeholders alone every run would fit every other."""
+    rnd = random.Random(8)
+    its = [(i, " ".join(f"n{rnd.randrange(10**6)}x" for _ in range(40)), "x") for i in range(30)]
+    docs = [(i, t, 0) for i, t, _ in its[:10]] + [(99, " ".join(f"m{i}y" for i in range(400)), 0)]
+    got = L.leaks(spark.createDataFrame(docs, DOC), spark.createDataFrame(its, ITEM), shared=10).collect()
+    assert {(r.doc_id, r.item_id, r.verbatim) for r in got} == {(i, i, True) for i in range(10)}
