@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import archive, dedup, enrich, feed, gate, ledger, rank, subscribers
+from newsloom.operators import archive, dedup, enrich, feed, gate, ledger, order, rank, subscribers
 from newsloom.schemas import ARTICLE, violations
 from newsloom.sources import feeds
 
@@ -210,3 +211,80 @@ def test_feed_filters(spark):
     assert feed.in_bucket(df, "national").count() == 1 and feed.in_bucket(df, "odd").count() == 2
     with pytest.raises(ValueError, match="range"):
         feed.in_range(df.withColumn("at", F.lit(0)), F.col("at"), F.lit(0), "year")
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_greedy_by_classes_is_greedy_by_pairs(spark, seed):
+    rnd = random.Random(seed)
+    words = [f"word{i}" for i in range(9)]
+    rows = [(f"i{i:03}", " ".join(rnd.sample(words, rnd.randrange(2, 5))), rnd.randrange(30_000)) for i in range(150)]
+    rows += [(f"e{i:03}", "one headline for them all", 1000 * i) for i in range(60)] + [("n1", None, 5), ("n2", "one headline for them all", None)]
+    df = spark.createDataFrame(rows, "id string, title string, at long")
+    pairs = dedup.cut(dedup.title_pairs(df, "id", F.col("title"), F.col("at")), "pairs")
+    both = {}
+    for i, t, at in rows:
+        both[i] = (set((t or "").split()), at)
+    want = {(a, b) for a in both for b in both if a < b and None not in (both[a][1], both[b][1]) and abs(both[a][1] - both[b][1]) <= 7200 and both[a][0] and both[b][0] and len(both[a][0] & both[b][0]) >= 0.45 * len(both[a][0] | both[b][0])}
+    assert {(r.a, r.b) for r in pairs.collect()} == want
+    one = {r.id: r.owner for r in dedup.greedy(df, "id", pairs.select("a", "b"), -F.col("at")).collect()}
+    two = {r.id: r.owner for r in dedup.greedy_alike(df, "id", F.col("title"), F.col("at"), -F.col("at")).collect()}
+    assert one == two and len(one) == len(rows)
+
+
+def test_places_and_running_sums_by_ranges(spark):
+    rnd = random.Random(4)
+    rows = [(i, rnd.randrange(3), rnd.randrange(50), float(rnd.randrange(9))) for i in range(3000)]
+    df = spark.createDataFrame(rows, "i long, k long, at long, x double").repartition(7)
+    got = {r.i: r.n for r in order.numbered(df, "n", F.col("at").desc(), F.col("i").asc()).collect()}
+    assert got == {r[0]: n for n, r in enumerate(sorted(rows, key=lambda r: (-r[2], r[0])))}
+    sums, want = {}, {}
+    for i, k, at, x in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = sums[k] = sums.get(k, 0) + x
+    assert {r.i: r.s for r in order.running_sum(df, "s", F.col("k"), F.col("x"), F.col("at").asc(), F.col("i").asc()).collect()} == want
+    assert order.numbered(df.limit(0), "n", F.col("i").asc()).count() == 0
+
+
+def test_a_lease_is_taken_once(spark):
+    subs = spark.createDataFrame([(i, f"r{i}@a.example", "en", "confirmed" if i != 3 else "pending") for i in range(1, 7)] + [(7, None, None, None)], "id long, email string, language string, status string")
+    old = [("2026-05-20", 1, "sent", "2026-05-20 00:10:00", None), ("2026-05-20", 2, "sending", "2026-05-20 00:50:00", None), ("2026-05-20", 4, "sending", "2026-05-20 00:30:00", None), ("2026-05-20", 5, "failed", "2026-05-20 00:59:00", "x"), ("2026-05-19", 6, "sent", "2026-05-19 00:10:00", None)]
+    dl = spark.createDataFrame(old, "d string, subscriber_id long, status string, a string, error string").select(F.to_date("d").alias("digest_date"), "subscriber_id", "status", F.to_timestamp("a").alias("attempted_at"), "error")
+    day, now = F.to_date(F.lit("2026-05-20")), F.lit("2026-05-20 01:00:00").cast("timestamp")
+    after, got = subscribers.claim(subs, dl, day, now, 2, spark.createDataFrame([(4,), (None,)], "id long"))
+    assert [r.id for r in got.collect()] == [5, 6]
+    assert {(str(r.digest_date), r.subscriber_id): r.status for r in after.collect()} == {("2026-05-20", 1): "sent", ("2026-05-20", 2): "sending", ("2026-05-20", 4): "sending", ("2026-05-20", 5): "sending", ("2026-05-20", 6): "sending", ("2026-05-19", 6): "sent"}
+    again, more = subscribers.claim(subs, after, day, now, 9)
+    assert [r.id for r in more.collect()] == [4]  # what a run has just claimed, no other may
+    assert again.count() == 6
+
+
+def test_a_repeated_sign_up_makes_no_second_row(spark):
+    kind = "id long, email string, language string, status string, requested_at timestamp, confirmed_at timestamp, unsubscribed_at timestamp, source_ip string, user_agent string"
+    t = lambda h: datetime.datetime(2026, 1, 1, h)
+    subs = spark.createDataFrame([(1, "A@x.example", "en", "confirmed", t(1), t(2), None, "ip", "ua"), (2, None, None, None, None, None, None, None, None)], kind)
+    req = spark.createDataFrame([(9, " a@X.example", "np", t(5), "i9", "u9"), (10, "b@x.example", "xx", t(6), "i10", "u" * 900), (11, "B@x.example", "np", t(7), "i11", "u11"), (12, None, "np", t(7), None, None)], "id long, email string, language string, requested_at timestamp, source_ip string, user_agent string")
+    rows = {r.id: r for r in subscribers.request(subs, req).collect()}
+    assert set(rows) == {1, 2, 10}
+    assert (rows[1].status, rows[1].language, rows[1].requested_at, rows[1].source_ip) == ("confirmed", "np", t(5), "ip")
+    assert (rows[10].status, rows[10].language, rows[10].requested_at, rows[10].source_ip, len(rows[10].user_agent)) == ("pending", "np", t(7), "i10", 500)
+    after, changes = subscribers.confirm(subs, spark.createDataFrame([(20, "a@x.example", t(8)), (21, "c@x.example", t(9))], "id long, email string, at timestamp"))
+    assert {r.id: r.status for r in after.collect()} == {1: "confirmed", 2: None, 21: "confirmed"}
+    assert [(r.subscriber_id, r.detail) for r in changes.collect()] == [(21, '{"backfilled":true}')]
+    left, changes = subscribers.unsubscribe(after, spark.createDataFrame([("A@X.example", t(10)), ("nobody", t(10))], "email string, at timestamp"))
+    assert {r.id: r.status for r in left.collect()} == {1: "unsubscribed", 2: None, 21: "confirmed"} and changes.count() == 1
+
+
+def test_files_that_cannot_be_read_have_a_row(spark, tmp_path):
+    (tmp_path / "good.xml").write_text("<rss><channel><item><title>A good title</title><link>https://a.example/1</link></item></channel></rss>")
+    (tmp_path / "bad.xml").write_text("<rss><channel><item><title>A bad title</title><link>https")
+    (tmp_path / "empty.xml").write_text("")
+    at = f"file://{tmp_path}"
+    got = {r.file.rsplit("/", 1)[1]: (r.ok, r.n, r.error) for r in feeds.file_status(spark, at, feeds.read_feeds(spark, at)).collect()}
+    assert got == {"good.xml": (True, 1, None), "bad.xml": (False, 0, "no record could be read"), "empty.xml": (False, 0, "the file is empty")}
+
+
+def test_verdicts_are_carried_only_over_a_passed_audit(spark):
+    q = "id string, quality struct<audited: boolean, bilingual: boolean, verified: boolean, note: string>"
+    new = spark.createDataFrame([("a", (True, True, None, None)), ("b", None), ("c", (True, False, True, "own")), ("d", (True, True, None, None))], q)
+    old = spark.createDataFrame([("a", (True, True, False, "why")), ("b", (True, True, True, None)), ("c", (True, True, None, "x"))], q)
+    got = {r.id: r.quality and (r.quality.verified, r.quality.note) for r in enrich.carry_verdicts(new, old).collect()}
+    assert got == {"a": (False, "why"), "b": None, "c": (True, "own"), "d": (None, None)}

@@ -83,3 +83,36 @@ def test_pages_fill_stories(spark):
     pages = spark.createDataFrame([("u1", "a text that is longer", "p1"), ("u2", "tiny", "p2"), ("u1", "a text that is longer", "p1")], "url string, text string, image_url string")
     got = {r.source_url: (r.summary, r.image_url) for r in feeds.with_pages(stories, pages).collect()}
     assert got == {"u1": ("a text that is longer", "p1"), "u2": ("a longer summary", "i"), "u3": (None, None)}
+
+
+def test_a_view_is_refreshed_and_served(spark, tmp_path):
+    import time
+
+    src, out = tmp_path / "in", f"file://{tmp_path}/out"
+    spark.createDataFrame([(1,), (2,)], "x long").coalesce(1).write.parquet(f"file://{src}")
+    q = streams.refreshed(spark.readStream.schema("x long").parquet(f"file://{src}"), lambda df: df.agg(F.sum("x").alias("s")), out, "1 second")
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            if (tmp_path / "out").exists() and any((tmp_path / "out").glob("*/_SUCCESS")):
+                break
+        assert streams.latest(spark, out).first().s == 3
+    finally:
+        q.stop()
+
+
+def test_stream_keeps_what_nothing_before_it_has_told(spark, tmp_path):
+    """The same as the greedy choice over all rows in order of time, over several batches."""
+    from newsloom.operators import dedup
+
+    rows = [(f"i{i:02}", f"story number {i % 7} of the {('day', 'night')[i % 2]}", i * 900) for i in range(40)]
+    df = spark.createDataFrame(rows, "id string, title string, at_s long")
+    for k in range(4):
+        df.where(f"at_s >= {k * 9000} AND at_s < {(k + 1) * 9000}").coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        import time
+
+        time.sleep(1.1)  # files are taken by their time
+    stream = spark.readStream.schema("id string, title string, at_s long").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in").withColumn("at", F.timestamp_seconds("at_s"))
+    got = {r.id for r in streams.without_alike(stream, "id", "title", "at").collect()}
+    want = {r.id for r in dedup.greedy_alike(df, "id", F.col("title"), F.col("at_s"), F.col("at_s")).where("id = owner").collect()}
+    assert got == want
