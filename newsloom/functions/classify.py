@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .binding import let
@@ -33,38 +33,42 @@ def topic_patterns() -> dict[str, tuple[str, str]]:
     return {t: ("|".join(w.replace("_", " ") for w in en.split()), "|".join(w.replace("_", " ") for w in np_.split())) for t, (en, np_) in TOPIC_WORDS.items()}
 
 
-def _hits(said: Column, en: str, np_: str) -> Column:
-    """2 for an English word and 2 for a Nepali stem; ``said`` is struct<text, words> in lower case."""
+def _hits(text: Column, words: Column, native: Column, en: str, np_: str) -> Column:
+    """2 for an English word and 2 for a Nepali stem; the text is in lower case, ``words`` its ASCII words, ``native`` whether it has Devanagari at all."""
     single = [w for w in en.split() if "_" not in w]
     phrases = [w.replace("_", " ") for w in en.split() if "_" in w]
-    hit = F.arrays_overlap(said["words"], F.array(*[F.lit(w) for w in single]))
+    hit = F.arrays_overlap(words, F.array(*[F.lit(w) for w in single]))
     for p in phrases:  # a phrase is looked for as such first, its ends only where it stands
-        hit = hit | (F.contains(said["text"], F.lit(p)) & said["text"].rlike(f"(?<![a-z0-9_]){p}(?![a-z0-9_])"))
+        hit = hit | (F.contains(text, F.lit(p)) & text.rlike(f"(?<![a-z0-9_]){p}(?![a-z0-9_])"))
     stem = F.lit(False)
     for w in np_.split():
-        stem = stem | F.contains(said["text"], F.lit(w.replace("_", " ")))
-    return F.when(hit, 2).otherwise(0) + F.when(stem, 2).otherwise(0)
+        stem = stem | F.contains(text, F.lit(w.replace("_", " ")))
+    return F.when(hit, 2).otherwise(0) + F.when(native & stem, 2).otherwise(0)
 
 
-def _said(c: Column) -> Column:
-    """struct<text, words>: the text in lower case, and its ASCII words."""
-    return let(F.lower(F.coalesce(c, F.lit(""))), lambda t: F.struct(t.alias("text"), F.split(t, "[^a-z0-9_]+").alias("words")))
+def _facts(text: Column) -> tuple[Column, Column]:
+    return F.split(text, "[^a-z0-9_]+"), text.rlike(r"[\x{0900}-\x{097F}]")
 
 
-def classify_topic(title: Column, summary: Column, categories: Column) -> Column:
-    """The topic with the highest score if that is enough, else the outlet's first mapped category, else the best topic, else world.
+def _choice(t: tuple[Column, Column, Column], s: tuple[Column, Column, Column], categories: Column) -> Column:
+    scores = [F.struct((_hits(*t, *w) * 2 + _hits(*s, *w)).alias("score"), F.lit(-i).alias("place"), F.lit(name).alias("topic")) for i, (name, w) in enumerate(TOPIC_WORDS.items())]
+    mapping = F.create_map(*[F.lit(x) for kv in CATEGORY_TOPIC.items() for x in kv])
+    mapped = F.get(F.filter(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.try_element_at(mapping, F.lower(c))), lambda x: x.isNotNull()), F.lit(0))
+    return let(F.array_max(F.array(*scores)), lambda b: F.when(b["score"] >= ACCEPT, b["topic"]).otherwise(F.coalesce(mapped, F.when(b["score"] > 0, b["topic"]), F.lit("world"))))
 
-    A headline counts twice; of equal scores the topic named first wins.
-    """
 
-    def best(x: Column) -> Column:
-        scores = [F.struct((_hits(x["t"], *w) * 2 + _hits(x["s"], *w)).alias("score"), F.lit(-i).alias("place"), F.lit(t).alias("topic")) for i, (t, w) in enumerate(TOPIC_WORDS.items())]
-        return F.array_max(F.array(*scores))
+def with_topic(df: DataFrame, name: str, title: Column, summary: Column, categories: Column) -> DataFrame:
+    """The rows with a topic: the one with the highest score if that is enough, else the outlet's first mapped category, else the best topic, else world.
 
-    mapping = F.create_map(*[F.lit(x) for kv in CATEGORY_TOPIC.items() for x in kv])
-    mapped = F.get(F.filter(F.transform(F.coalesce(categories, F.array().cast("array<string>")), lambda c: F.try_element_at(mapping, F.lower(c))), lambda t: t.isNotNull()), F.lit(0))
-    found = let(F.struct(_said(title).alias("t"), _said(summary).alias("s")), best)
-    return let(found, lambda b: F.when(b["score"] >= ACCEPT, b["topic"]).otherwise(F.coalesce(mapped, F.when(b["score"] > 0, b["topic"]), F.lit("world"))))
+    A headline counts twice; of equal scores the topic named first wins. What is looked at is worked
+    out in columns first, so that all of it stays in generated code.
+    """
+    t = df.withColumn("_t", F.lower(F.coalesce(title, F.lit("")))).withColumn("_s", F.lower(F.coalesce(summary, F.lit(""))))
+    for n in ("_t", "_s"):
+        for i, f in enumerate(_facts(F.col(n))):
+            t = t.withColumn(f"{n}{i}", f)
+    t = t.withColumn(name, _choice(*[(F.col(n), F.col(f"{n}0"), F.col(f"{n}1")) for n in ("_t", "_s")], categories))
+    return t.drop("_t", "_s", "_t0", "_t1", "_s0", "_s1")
 
 
 def is_breaking(title: Column) -> Column:

@@ -14,17 +14,19 @@ from .binding import let
 #: Fixed value: white space, for use inside a character class.
 WS = r"\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 SPACE = f"[{WS}]"
+#: The same characters one by one; looking them up is much faster than that class of a pattern.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 #: Fixed value: what ends a sentence in either script.
 STOP = ".!?।"
 
 
 def trim(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return trim(F.regexp_replace(c, f"{SPACE}+", " "))
+    return F.btrim(F.regexp_replace(F.translate(c, BLANKS, " " * len(BLANKS)), "  +", " "))
 
 
 def title_tokens(title: Column, keep_marks: bool = False, least: int = 3) -> Column:
@@ -168,10 +170,20 @@ PAGE_BOILERPLATE = r"(?i)unlock these with subscription|subscription benefits|al
 WIDGET = rf"(?i)^(?:shares?|tweet|share this|follow us|advertisement|listen to this article){SPACE}+(?={'[^' + WS + ']'})"
 
 
+#: What a text holds, in lower case, that any of those but the last could match.
+FEED_SIGNS = ["subscri", "unlock these", "continue reading", "read more at", "sign up", "appeared", "published", "©", "copyright", "rights reserved"]
+
+
 def strip_boilerplate(c: Column) -> Column:
+    """The text without pitches and labels, on one line; patterns run only over texts with a sign of them."""
+    low = F.lower(c)
+    sign = c.rlike(FEED_BOILERPLATE[-1])
+    for word in FEED_SIGNS:
+        sign = sign | F.contains(low, F.lit(word))
+    out = c
     for p in FEED_BOILERPLATE:
-        c = F.regexp_replace(c, p, " ")
-    return squeeze(c)
+        out = F.regexp_replace(out, p, " ")
+    return squeeze(F.when(sign, out).otherwise(c))
 
 
 def is_boilerplate(c: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import url as ul
-from ..functions.classify import classify_topic, is_breaking
+from ..functions.classify import is_breaking, with_topic
 from ..functions.html import to_text
 from .order import numbered
 
@@ -64,10 +64,10 @@ def normalize(raw: DataFrame, sources: DataFrame, now_s: Column | None = None) -
     t = t.withColumn("now", now).withColumn("published_s", at).withColumn("clean_title", to_text(F.coalesce("title", F.lit("")))).withColumn("body", to_text(F.coalesce("description", F.lit(""))))
     t = t.withColumn("summary", tx.standfirst(F.col("clean_title"), F.col("body")))
     fresh = (F.col("now") - F.col("published_s") < BREAKING_H * 3600) & is_breaking(F.col("clean_title"))
-    topic = F.when(fresh, "breaking").otherwise(classify_topic(F.col("clean_title"), F.col("summary"), F.col("categories")))
+    t = with_topic(t, "topic", F.col("clean_title"), F.col("summary"), F.col("categories"))
     return t.select(
         ul.fingerprint(F.col("url")).alias("id"), "raw_id", "bucket", "original_lang", F.col("clean_title").alias("title"), F.col("url").alias("source_url"), "published_s", "summary", F.get("categories", F.lit(0)).alias("category"),
-        topic.alias("topic"), ul.clean_image(F.col("image_url")).alias("image_url"), "source_id", "source_name", "credibility", "priority", F.lit(1).alias("coverage_count"),
+        F.when(fresh, "breaking").otherwise(F.col("topic")).alias("topic"), ul.clean_image(F.col("image_url")).alias("image_url"), "source_id", "source_name", "credibility", "priority", F.lit(1).alias("coverage_count"),
     )
 
 

@@ -377,7 +377,7 @@ def in_language(s, d):
 @query
 def classify_topic(s, d):
     a = spread(table(s, d, "articles")).join(feed.source_dim(table(s, d, "sources").select(F.col("id").alias("source_id"), "categories")), "source_id", "left")
-    return a.select("id", classify.classify_topic(F.col("title"), F.col("summary"), F.col("categories")).alias("found"))
+    return classify.with_topic(a, "found", F.col("title"), F.col("summary"), F.col("categories")).select("id", "found")
 
 
 @query

@@ -181,11 +181,12 @@ def test_audit_passes_clean_text_and_warns_without_failing(spark):
 
 
 def test_topics(spark):
-    cats = F.array(F.lit("nothing"), F.lit("Markets"))
-    assert one(spark, classify.classify_topic(F.col("t"), F.col("s"), cats), t="Cricket team wins", s="") == "sports"
-    assert one(spark, classify.classify_topic(F.col("t"), F.col("s"), cats), t="A note", s="the bank") == "business"
-    assert one(spark, classify.classify_topic(F.col("t"), F.col("s"), F.array().cast("array<string>")), t="A note", s="a hospital") == "health"
-    assert one(spark, classify.classify_topic(F.col("t"), F.col("s"), F.lit(None).cast("array<string>")), t=None, s=None) == "world"
+    some, none = F.array(F.lit("nothing"), F.lit("Markets")), F.array().cast("array<string>")
+    df = spark.createDataFrame([("Cricket team wins", ""), ("A note", "the bank"), ("A note", "a hospital"), (None, None), ("The mental health of a team", "विद्यालय")], "t string, s string")
+    topics = lambda cats: [r.x for r in classify.with_topic(df, "x", F.col("t"), F.col("s"), cats).collect()]
+    assert topics(some) == ["sports", "business", "business", "business", "health"]
+    assert topics(none) == ["sports", "business", "health", "world", "health"]
+    assert topics(F.lit(None).cast("array<string>")) == ["sports", "business", "health", "world", "health"]
     assert one(spark, classify.is_breaking(F.col("t")), t="Live update: flood") is True
     assert one(spark, classify.is_breaking(F.col("t")), t="Heartbreaking") is False
 
