@@ -245,6 +245,21 @@ def canonical(cp: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return cp, off, changed
 
 
+def plain(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Which texts ``canonical`` and ``blank_tags`` leave as they are for sure: a few look-ups instead of the whole work."""
+    t = _tables()
+    at = np.flatnonzero(t["special"][cp] | (t["like"][cp] > 0) | (cp == 0x7C) | (cp == 0x3C))
+    joins = at[(cp[at] == 0x200D) | (cp[at] == 0x200C)]
+    fine = joins[(joins > off[row_of(off, joins)]) & t["virama"][cp[np.maximum(joins - 1, 0)]]]
+    second = np.flatnonzero(t["second"][cp])
+    second = second[second > 0]
+    key = cp[second - 1].astype(np.int64) << 21 | cp[second].astype(np.int64)
+    joined = second[t["keys"][np.minimum(np.searchsorted(t["keys"], key), len(t["keys"]) - 1)] == key]
+    out = np.ones(len(off) - 1, bool)
+    out[row_of(off, np.r_[np.setdiff1d(at, fine, assume_unique=True), joined])] = False
+    return out
+
+
 def _compose(cp: np.ndarray, off: np.ndarray, changed: np.ndarray, t: dict) -> tuple[np.ndarray, np.ndarray]:
     """Joins each mark with the letter before it, innermost first, until nothing joins."""
     for _ in range(8):

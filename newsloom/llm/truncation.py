@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -50,9 +51,6 @@ TAGS = r"(?:\s+(?:\([^()]{2,20}\)|\[\p{L}[^\[\]]{2,20}\]|\|\s*\S.{1,20}|[–—-
 BROKEN = r"(?:�|&#?\w{0,7}|<[a-zA-Z/][^<>]{0,60}|<)$"
 #: Fixed value: what stands between the words of a text.
 BETWEEN = "\t\n\r\u00a0\u2007\u2009\u202f\u3000.,;:!?।|()[]{}\"“”‘’«»…–—"
-#: Fixed value: what a text whose canonical form may differ from itself has: any character beyond plain text of Latin or
-#: Devanagari, markup, a bar, or a vowel or a nukta that may join the letter before it.
-ODD = r"[^\t\n\r -;=-{}~\u00a0-\u00ac\u00ae-\u017f\u0900-\u093b\u093d-\u0957\u0960-\u097f\u200c\u200d\u2010-\u2027]|(?<!\u094d)[\u200c\u200d]|[\u00a0\u017f\u0149\u0132\u0133\u013f\u0140]|[\u0904-\u0914\u093e-\u094c][\u093e-\u094c]|र्इ"
 #: Characters of a running text's end that are looked at.
 TAIL = 400
 UNSEEN = r"[\s ​-‏⁠-⁤﻿­]+$"
@@ -139,13 +137,14 @@ def _one_form(titles: DataFrame) -> DataFrame:
             for part in A.slices(batch, "t", "summary"):
                 out = {n: part.column(n) for n in part.schema.names}
                 for c in ("t", "summary"):
-                    cp, off, _ = A.canonical(*A.explode(part.column(c)))
-                    out[c] = A.implode(A.blank_tags(cp, off), off)
+                    odd = ~A.plain(*A.explode(part.column(c)))
+                    if odd.any():
+                        cp, off, _ = A.canonical(*A.explode(part.column(c).filter(pa.array(odd))))
+                        out[c] = pa.compute.replace_with_mask(part.column(c), pa.array(odd), A.implode(A.blank_tags(cp, off), off))
                 yield pa.record_batch(list(out.values()), names=list(out))
 
     named = titles.select("id", "source_id", "title", "t", F.coalesce("summary", F.lit("")).alias("summary"))
-    odd = F.col("t").rlike(ODD) | F.col("summary").rlike(ODD)
-    return named.where(~odd).unionByName(A.over(named.where(odd), rows, "id string, source_id string, title string, t string, summary string"))
+    return A.over(named, rows, "id string, source_id string, title string, t string, summary string")
 
 
 def _last_words(titles: DataFrame, common: np.ndarray) -> DataFrame:
@@ -198,7 +197,7 @@ def field_values(articles: DataFrame) -> DataFrame:
     texts = a.select("id", "source_id", "title", F.explode(F.expr("map('summary', summary, 'summary_translated', summary_translated)")).alias("field", "value")).where(F.length(F.trim("value")) > 0)
     headline = F.lower(F.trim("value")) == F.lower(F.trim(F.coalesce("title", F.lit(""))))
     open_ = _running(F.col("value")) & ~headline
-    broken = F.when(_bare(F.col("value")).rlike(BROKEN) | _bare(F.col("value")).rlike(MORE), True)
+    broken = F.when(open_, F.when(_bare(F.col("value")).rlike(BROKEN) | _bare(F.col("value")).rlike(MORE), True))  # asked of open values only
     running = texts.select(F.col("id").alias("article_id"), "source_id", "field", F.length(F.col("value")).alias("chars"), F.octet_length("value").alias("bytes"), open_.alias("open"), broken.alias("sure"))
 
     titles = a.where(F.length(F.trim("title")) > 0).withColumn("t", F.regexp_replace(_bare(F.col("title")), TAGS, ""))

@@ -110,3 +110,15 @@ def test_unseen_characters_of_the_last_planes():
 
     cp, off, changed = arrowtext.canonical(*arrowtext.explode(pa.array(["ne\U000e0001ws", "ne\U000e0041ws", "ne\U000e01efws", "news"])))
     assert arrowtext.implode(cp, off).to_pylist() == ["news"] * 4 and changed.tolist() == [True, True, True, False]
+
+
+def test_plain_texts_are_those_that_stay():
+    rnd = np.random.default_rng(7)
+    pool = [*"ab é \u00a0|<>।क\u093e\u0947\u094dर\u0905\u093c\u200d\u200c\u200bа１ﬁ\u0301“x.\ufeff"]
+    texts = ["".join(rnd.choice(pool, rnd.integers(0, 7))) for _ in range(20_000)] + ["", "plain words", "पद्\u200dमा"]
+    cp, off = A.explode(pa.array(texts))
+    same = A.plain(cp, off)
+    out, to, _ = A.canonical(cp, off)
+    got = A.implode(A.blank_tags(out, to), to).to_pylist()
+    assert all(g == t for g, t, p in zip(got, texts, same, strict=True) if p)
+    assert same[-3:].all() and 0.05 < same.mean() < 0.9
