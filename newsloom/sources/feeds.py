@@ -68,10 +68,13 @@ def read_feeds(spark: SparkSession, path: str) -> DataFrame:
 
 def file_status(spark: SparkSession, path: str, records: DataFrame) -> DataFrame:
     """(file, ok, n, error) of all feed files under a path, those without a record included; ``records`` is what was read of them."""
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "length")  # the contents are not read
-    got = records.groupBy("file").agg(F.count("*").alias("n"))
-    error = F.when(F.col("length") == 0, "the file is empty").when(F.col("n").isNull(), "no record could be read")
-    return files.join(got, "file", "left").select("file", error.isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("n"), error.alias("error"))
+    there = spark.read.format("binaryFile").load(path)
+    plain = lambda c: F.regexp_replace(c, "^([A-Za-z0-9]+):/+", "$1:/")
+    files = spark.createDataFrame([(f,) for f in there.inputFiles()], "file string").withColumn("_f", plain("file"))  # the list that Spark holds of them
+    some = there.where("length > 0").select(plain("path").alias("_f"), F.lit(True).alias("some"))  # the contents are not read
+    got = records.groupBy(plain("file").alias("_f")).agg(F.count("*").alias("n"))
+    error = F.when(F.col("some").isNull(), "the file is empty").when(F.col("n").isNull(), "no record could be read")
+    return files.join(some, "_f", "left").join(got, "_f", "left").select("file", error.isNull().alias("ok"), F.coalesce("n", F.lit(0)).alias("n"), error.alias("error"))
 
 
 def first_records(raw: DataFrame, source: str, *order: Column, limit: int = PER_SOURCE) -> DataFrame:
