@@ -59,7 +59,7 @@ def test_cut_values_and_rates(spark):
 def test_a_source_that_does_without_full_stops(spark):
     """Its texts are cut at its limit, or where they break off inside a tag; texts of another source that end so are cut anywhere."""
     rnd = random.Random(5)
-    said = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    said = lambda n: " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randrange(3, 10))) for _ in range(n))
     rows = [(f"x{i}", "bare", None, said(rnd.randrange(9, 40)), None, None) for i in range(200)]
     rows += [(f"y{i}", "bare", None, said(40)[:150], None, None) for i in range(60)]
     rows += [("z", "bare", None, said(12) + " <a hre", None, None)]
